@@ -1,0 +1,5 @@
+"""Streams.
+
+The engine's incremental mode is a stateless batch gate over changed line ranges, so there is no
+streaming operator; the package is kept for future sources.
+"""
