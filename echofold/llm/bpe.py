@@ -24,8 +24,9 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from echofold.llm.common import map_batches, normal_text
 
@@ -149,7 +150,7 @@ class PieceEncoder:
             state = self.db.sql(query).to_arrow_table()
             self.db.unregister("seed")
             more = state.column("more")
-            done.append(state.filter(pa.compute.invert(more)).select(["piece", "pos", "tok"]))
+            done.append(state.filter(pc.invert(more)).select(["piece", "pos", "tok"]))
             seed = state.filter(more).select(["piece", "pos", "nxt", "tok"])
         return done
 
@@ -161,7 +162,7 @@ class PieceEncoder:
         pos = (np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         seed = pa.table({"piece": piece, "pos": pos, "nxt": pos + 1, "tok": self.single[data]})
         long = pa.array(np.repeat(lengths > LONG_PIECE, lengths))
-        done = self._fixpoint(seed.filter(pa.compute.invert(long)), SHORT_SQL) + self._fixpoint(seed.filter(long), LONG_SQL)
+        done = self._fixpoint(seed.filter(pc.invert(long)), SHORT_SQL) + self._fixpoint(seed.filter(long), LONG_SQL)
         self.db.register("done", pa.concat_tables(done))
         found = self.db.sql(DECODE_SQL).to_arrow_table()
         self.db.unregister("done")
