@@ -98,3 +98,28 @@ class RangeBuckets:
     @property
     def count(self) -> int:
         return len(self.points) + 1
+
+
+def whole_rows(docs: DataFrame) -> tuple[Column, list[str]]:
+    """All columns as one struct, so that columns of any name can't clash with an operator's own."""
+    names = docs.columns
+    return F.struct(*[F.col(f"`{n}`") for n in names]).alias("row_"), names
+
+
+def unpack_rows(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
+    """The columns of row_ again; replaced gives new values for some that are there."""
+    return df.select(*[replaced[n].alias(n) if n in replaced else F.col(f"row_.`{n}`").alias(n) for n in names])
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, how: str = "inner", heavy: int = 1000) -> DataFrame:
+    """rows joined with facts (one row for each key; weight: the rows that have the key).
+
+    Keys with over total / heavy rows number fewer than heavy, whatever the data: those facts are
+    broadcast, so no key's rows meet in one task. All other keys go through a shuffled join.
+    """
+    limit = max(1, total // heavy)
+    hot = F.broadcast(facts.where(F.col(weight) > limit))
+    cold = facts.where(F.col(weight) <= limit)
+    of_hot = rows.join(hot, key, "inner")
+    of_cold = rows.join(F.broadcast(facts.where(F.col(weight) > limit).select(key)), key, "left_anti").join(cold, key, how)
+    return of_hot.unionByName(of_cold)

@@ -5,10 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import bpe
+from echofold.llm import bpe, line_dedup, mixing, token_counts
 from echofold.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+COUNT_VOCABULARY = "word_bpe_49k.json"
+COUNT_LIMIT = 2048
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_VOCABULARY), COUNT_LIMIT)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +31,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_line_dedup": op2_line_dedup,
+    "op7_token_counts": op7_token_counts,
     "op9_bpe": op9_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE_SQL,
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+}
