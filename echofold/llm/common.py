@@ -123,3 +123,13 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, weight: str, total:
     of_hot = rows.join(hot, key, "inner")
     of_cold = rows.join(F.broadcast(facts.where(F.col(weight) > limit).select(key)), key, "left_anti").join(cold, key, how)
     return of_hot.unionByName(of_cold)
+
+
+def sampled_texts(docs: DataFrame, ids: DataFrame, max_chars: int) -> DataFrame:
+    """ids (doc_id and other columns, a bounded number of rows) with the text of each id.
+
+    Texts that are null, empty or longer than max_chars take no part; of rows with equal ids the least
+    text counts. ids is small by its parameters, so it is broadcast and texts are not shuffled.
+    """
+    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where(F.length("text").between(1, max_chars))
+    return texts.join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min("text").alias("text"))
