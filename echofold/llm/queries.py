@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import bpe, language, line_dedup, mixing, simhash, token_counts, toxicity
+from echofold.llm import bpe, language, line_dedup, mixing, simhash, token_counts, toxicity, url_filter
 from echofold.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_language": op3_language,
+    "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op7_token_counts": op7_token_counts,
     "op9_bpe": op9_bpe,
@@ -57,4 +62,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_url_filter": url_filter.ORACLE_SQL,
 }
