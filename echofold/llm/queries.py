@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import bpe, language, line_dedup, mixing, simhash, token_counts, toxicity, url_filter
+from echofold.llm import bpe, language, line_dedup, mixing, neighbours, simhash, token_counts, toxicity, url_filter
 from echofold.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_VOCABULARY), COUNT_LIMIT)
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
+    "op6_neighbours": op6_neighbours,
     "op7_token_counts": op7_token_counts,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
