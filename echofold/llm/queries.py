@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import bpe, language, line_dedup, mixing, neighbours, simhash, token_counts, toxicity, url_filter
+from echofold.llm import bpe, language, line_dedup, mixing, neighbours, simhash, spotsigs, token_counts, toxicity, url_filter
 from echofold.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_VOCABULARY), COUNT_LIMIT)
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_neighbours": op6_neighbours,
     "op7_token_counts": op7_token_counts,
+    "op8_spotsigs": op8_spotsigs,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
