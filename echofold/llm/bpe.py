@@ -210,30 +210,28 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> list[list[Encoded
 
 
 def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For each row: doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids and decoded.
+    """For each row: doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids.
 
     path is where a rank file lies on every executor, pattern the pre-tokenisation pattern.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_tokens, ids_sha, decoded_sha, ids, texts = [], [], [], [], []
+        n_tokens, ids_sha, decoded_sha, ids = [], [], [], []
         for pieces in encode_texts(batch.column("text").to_pylist(), path, pattern):
             count, packed, text, decoded = zip(*pieces) if pieces else ((), (), (), ())
-            plain = b"".join(decoded)
             n_tokens.append(sum(count))
             ids_sha.append(hashlib.sha256(",".join(text).encode()).hexdigest())
-            decoded_sha.append(hashlib.sha256(plain).hexdigest())
+            decoded_sha.append(hashlib.sha256(b"".join(decoded)).hexdigest())
             if with_ids:
                 ids.append(np.frombuffer(b"".join(packed), np.int32))
-                texts.append(plain.decode("utf-8", "replace"))
         out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}
         if with_ids:
-            out |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
+            out["ids"] = pa.array(ids, pa.list_(pa.int32()))
         return pa.RecordBatch.from_pydict(out)
 
     given = docs.select(docs[id_column].alias("doc_id"), normal_text(docs[text_column]).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    more = ", ids array<int>, decoded string" if with_ids else ""
+    more = ", ids array<int>" if with_ids else ""
     return map_batches(given, work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
