@@ -4,7 +4,7 @@ A linear numpy classifier is trained from confirmed toxic texts (P) and unlabell
 risk  prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)) : the share of toxic text that U is bound to hold
 is taken off its negative risk, and where the estimate turns negative the step is reversed. The prior is
 the share of toxic rows among the labelled training rows. Features are the presence of words and of word
-beginnings, chosen by how much their share of P exceeds their share of U, or falls below it. A final
+beginnings, chosen by how far their share of P exceeds their share of U. A final
 logistic scaling, fitted on labelled training rows, turns margins into scores.
 
 Training takes a bounded sample: at most POSITIVES, LABELLED and UNLABELLED rows with the least hashes of
@@ -30,7 +30,8 @@ FOLDS, HELD_FOLD = 4, 2
 POSITIVES, UNLABELLED, LABELLED = 3000, 9000, 6000
 TRAIN_CHARS = 20_000
 FEATURES = 1500
-LEAST_DOCS = 8
+LEAST_DOCS = 3
+LEAST_GAIN = 4.0
 BEGINNINGS = (4, 5, 6)
 CUT = 0.3
 EPOCHS, BATCH, RATE, DECAY = 40, 600, 0.02, 1e-4
@@ -90,22 +91,27 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _log_likelihood(k: np.ndarray, n: int, share: np.ndarray) -> np.ndarray:
+    share = np.clip(share, 1e-12, 1 - 1e-12)
+    return k * np.log(share) + (n - k) * np.log(1 - share)
+
+
 def choose_features(positive: list[str], unlabelled: list[str], most: int) -> list[str]:
-    """The features whose shares of the two samples differ most, in standard errors."""
+    """The features more frequent in P than in U, by the log-likelihood ratio of the two shares."""
     counts: dict[str, list[int]] = {}
     for side, texts in enumerate((positive, unlabelled)):
         for text in texts:
             for f in {f for w in words_of(text) for f in features_of(w)}:
                 counts.setdefault(f, [0, 0])[side] += 1
-    names = [f for f, (p, u) in counts.items() if p + u >= LEAST_DOCS]
+    names = [f for f, (p, _) in counts.items() if p >= LEAST_DOCS]
     if not names:
         return []
     p, u = (np.array([counts[f][side] for f in names], np.float64) for side in (0, 1))
-    share_p, share_u = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(unlabelled) + 1)
-    pooled = (p + u + 1) / (len(positive) + len(unlabelled) + 2)
-    z = np.abs(share_p - share_u) / np.sqrt(pooled * (1 - pooled) * (1 / (len(positive) + 1) + 1 / (len(unlabelled) + 1)))
-    order = np.lexsort((names, -z))[:most]
-    return [names[i] for i in order]
+    n, m = len(positive), len(unlabelled)
+    joint = (p + u) / (n + m)
+    gain = _log_likelihood(p, n, p / n) + _log_likelihood(u, m, u / m) - _log_likelihood(p, n, joint) - _log_likelihood(u, m, joint)
+    gain = np.where(p / n > u / m, gain, 0.0)
+    return [names[i] for i in np.lexsort((names, -gain))[:most] if gain[i] >= LEAST_GAIN]
 
 
 def _matrix(model: ToxicModel, texts: list[str]) -> np.ndarray:
