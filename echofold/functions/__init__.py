@@ -1 +1 @@
-"""Scalar helpers: options, number formatting, path handling."""
+"""Scalar helpers: options, number formatting, path handling, structural normalisation and hashing."""
