@@ -7,10 +7,11 @@ calibration: for CALIBRATION queries the true neighbours are computed against al
 widened until they hold TARGET of them. A query goes on beyond that while the leaves visited hold fewer
 rows than it needs neighbours.
 
-Rows of a leaf are cut into chunks of about CHUNK_ROWS and queries that visit it into chunks of about
-CHUNK_QUERIES, so a leaf that holds a third of all rows is many groups. Each pair of chunks is scored by
-one matrix product and gives its nearest rows by exact distance; a query's nearest of all chunks follow
-from a ranking over those.
+Neighbouring leaves are put together into blocks of about BLOCK_ROWS rows, a larger leaf is cut into as
+many chunks; queries come to a block once, with the leaves they visit there, and in chunks of CHUNK_QUERIES.
+So a leaf that holds a third of all rows is many groups, and no group grows with the data. A block is scored
+by one matrix product, equal vectors once, and gives each query its nearest rows by exact distance; the
+nearest of all blocks follow from a ranking over those.
 
 Defined results: vectors that are null, all zero, of another length than the most frequent one, or with
 null or non-finite components take no part, neither as queries nor as candidates; nor do null ids. Rows
@@ -35,10 +36,10 @@ from echofold.plans.staging import staged
 
 BRANCHES = 8
 SAMPLE_ROWS = 40_000
-LEAF_SAMPLE = 48
+LEAF_SAMPLE = 160
 CALIBRATION = 128
 TARGET = 0.96
-CHUNK_ROWS = 8_000
+BLOCK_ROWS = 16_000
 CHUNK_QUERIES = 2_000
 _INF = float("inf")
 
@@ -121,22 +122,39 @@ def fit_tree(sample: np.ndarray, leaf_sample: int = LEAF_SAMPLE, seed: int = 5)
     return tree
 
 
-def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """(query_id, vec_id, score): for each query its k nearest rows of other ids, by exact distance."""
-    out = []
+def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, visible: np.ndarray | None = None) -> pd.DataFrame:
+    """(query_id, vec_id, score, row): for each query its k nearest rows of other ids, by exact distance.
+
+    visible, if given, says which queries (first axis) may see which rows.
+    """
+    order = np.lexsort((row_ids,))
+    rows, row_ids = np.ascontiguousarray(rows[order]), row_ids[order]
+    _, first, group = np.unique(rows.view(f"V{rows.itemsize * rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    by_group = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[by_group], np.arange(len(first) + 1))
+    kinds, sole = rows[first], row_ids[by_group[starts[:-1]]]
+    shared = sole != row_ids[by_group[starts[1:] - 1]]  # held by rows of more than one id
+    out_q, out_row, out_score = [], [], []
     for at in range(0, len(queries), 256):
         q, ids = queries[at : at + 256], query_ids[at : at + 256]
-        rough = _squares(q, rows)
-        rough[ids[:, None] == row_ids[None, :]] = _INF
-        kth = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
+        rough = _squares(q, kinds)
+        rough[(ids[:, None] == sole[None, :]) & ~shared[None, :]] = _INF
+        if visible is not None:
+            rough[~visible[at : at + 256][:, order[first]]] = _INF
+        nth = min(k, rough.shape[1]) - 1
+        kth = np.partition(rough, nth, axis=1)[:, nth]
         # The product rounds otherwise than the difference: whatever may be among the k is measured.
-        slack = 1e-9 * (1 + (q**2).sum(axis=1) + (rows**2).sum(axis=1).max())
-        for i in range(len(q)):
-            near = np.flatnonzero((rough[i] <= kth[i] + slack[i]) & (rough[i] < _INF))
-            exact = np.sqrt(((rows[near] - q[i]) ** 2).sum(axis=1))
-            order = np.lexsort((row_ids[near], exact))[:k]
-            out.append(pd.DataFrame({"query_id": ids[i], "vec_id": row_ids[near][order], "score": exact[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        slack = 1e-9 * (1 + (q**2).sum(axis=1) + (kinds**2).sum(axis=1).max())
+        near_q, near_kind = np.nonzero((rough <= (kth + slack)[:, None]) & (rough < _INF))
+        exact = np.sqrt(((kinds[near_kind] - q[near_q]) ** 2).sum(axis=1))
+        for i, kind, score in zip(near_q.tolist(), near_kind.tolist(), exact.tolist()):
+            members = by_group[starts[kind] : starts[kind + 1]]
+            members = members[row_ids[members] != ids[i]][:k] if len(members) > 1 else members
+            out_q += [at + i] * len(members)
+            out_row += members.tolist()
+            out_score += [score] * len(members)
+    found = pd.DataFrame({"query_id": query_ids[out_q] if out_q else np.zeros(0, np.int64), "vec_id": row_ids[out_row] if out_row else np.zeros(0, np.int64), "score": np.array(out_score, np.float64), "row": order[out_row] if out_row else np.zeros(0, np.int64)})
+    return found.sort_values(["query_id", "score", "vec_id"], kind="stable").groupby("query_id").head(k)
 
 
 def _matrix(column) -> np.ndarray:
@@ -166,8 +184,7 @@ def exact_neighbours(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray
                 continue
             vectors, ids = _matrix(batch.column("vec")), batch.column("vec_id").to_numpy()
             found = nearest_in_block(queries, query_ids, vectors, ids, k)
-            first = pd.Series(np.arange(len(ids)), index=ids).groupby(level=0).first()
-            found["vec"] = list(vectors[first.loc[found["vec_id"]].to_numpy()]) if len(found) else []
+            found["vec"] = list(vectors[found["row"].to_numpy(np.int64)])
             best = found if best is None else pd.concat([best, found])
             best = best.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(k)
         if best is not None and len(best):
@@ -218,37 +235,53 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, target: float = TA
     placed = staged(rows.mapInArrow(assign, rows.withColumn("leaf", F.lit(0)).schema), "leaves")
     # One number for each leaf of a tree of bounded size.
     held = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks, block, room = {}, -1, 0
+    for leaf, n in sorted(held.items()):
+        if n > room:
+            block, room = block + 1, BLOCK_ROWS
+        blocks[leaf] = (block, max(1, -(-n // BLOCK_ROWS)))
+        room = room - n if n <= BLOCK_ROWS else 0
 
     def visit(batches):
         tree = shared.value
         for batch in batches:
-            at, leaves = [], []
+            at, block_of, chunks, leaves = [], [], [], []
             for i, q in enumerate(_matrix(batch.column("vec"))):
-                rows_met = 0
+                rows_met, met = 0, {}
                 for n, leaf in enumerate(tree.best_bins(q)):
                     if n >= visits and rows_met > 4 * k:
                         break
                     if leaf in held:
                         rows_met += held[leaf]
-                        at.append(i)
-                        leaves.append(leaf)
+                        met.setdefault(blocks[leaf], []).append(leaf)
+                for (b, c), seen in met.items():
+                    at.append(i)
+                    block_of.append(b)
+                    chunks.append(c)
+                    leaves.append(seen)
             taken = batch.take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_pydict({"query_id": taken.column("vec_id"), "query": taken.column("vec"), "leaf": pa.array(leaves, pa.int32())})
+            yield pa.RecordBatch.from_pydict({"query_id": taken.column("vec_id"), "query": taken.column("vec"), "block": pa.array(block_of, pa.int32()), "chunks": pa.array(chunks, pa.int32()), "leaves": pa.array(leaves, pa.list_(pa.int32()))})
 
-    visiting = staged(queries.mapInArrow(visit, queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), F.lit(0).alias("leaf")).schema), "visits")
-    asked = {r["leaf"]: r["n"] for r in visiting.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.createDataFrame([(leaf, -(-n // CHUNK_ROWS), -(-asked[leaf] // CHUNK_QUERIES)) for leaf, n in held.items() if leaf in asked], "leaf int, row_chunks int, query_chunks int")
-    plan = F.broadcast(plan)
+    met = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), F.lit(0).alias("block"), F.lit(1).alias("chunks"), F.array(F.lit(0)).alias("leaves"))
+    visiting = staged(queries.mapInArrow(visit, met.schema), "visits")
+    asked = {r["block"]: r["n"] for r in visiting.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not asked:
+        return spark.createDataFrame([], schema)
+    plan = spark.createDataFrame([(leaf, b, c, -(-asked[b] // CHUNK_QUERIES)) for leaf, (b, c) in blocks.items() if b in asked], "leaf int, block int, chunks int, query_chunks int")
     chunk = lambda column, count: F.pmod(F.xxhash64(column), F.col(count)).cast("int")
     all_of = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    left = visiting.join(plan, "leaf").withColumn("q", chunk("query_id", "query_chunks")).withColumn("c", all_of("row_chunks")).select("leaf", "c", "q", "query_id", "query")
-    right = placed.join(plan, "leaf").withColumn("c", chunk("vec_id", "row_chunks")).withColumn("q", all_of("query_chunks")).select("leaf", "c", "q", "vec_id", "vec")
+    of_block = F.broadcast(plan.select("block", "query_chunks").distinct())
+    left = visiting.join(of_block, "block").withColumn("q", chunk("query_id", "query_chunks")).withColumn("c", all_of("chunks")).select("block", "c", "q", "query_id", "query", "leaves")
+    right = placed.join(F.broadcast(plan), "leaf").withColumn("c", chunk("vec_id", "chunks")).withColumn("q", all_of("query_chunks")).select("block", "c", "q", "vec_id", "vec", "leaf")
 
     def pair(asking: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if asking.empty or rows.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return nearest_in_block(_matrix(asking["query"]), asking["query_id"].to_numpy(), _matrix(rows["vec"]), rows["vec_id"].to_numpy(), k)
+        known, local = np.unique(rows["leaf"].to_numpy(), return_inverse=True)
+        seen = np.stack([np.isin(known, leaves) for leaves in asking["leaves"]])
+        found = nearest_in_block(_matrix(asking["query"]), asking["query_id"].to_numpy(), _matrix(rows["vec"]), rows["vec_id"].to_numpy(), k, seen[:, local])
+        return found[["query_id", "vec_id", "score"]]
 
-    keys = ["leaf", "c", "q"]
+    keys = ["block", "c", "q"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
