@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,30 +36,30 @@ def scan_text(file: str, text: str, min_lines: int, min_nodes: int) -> list[tupl
     return list(candidates(tree, text, min_lines, min_nodes))
 
 
-def scan_file(file: str, min_lines: int, min_nodes: int) -> list[tuple[int, int, int, list[int]]]:
-    with open(file, encoding="utf-8", errors="replace", newline="") as source:
+def scan_file(file: str, min_lines: int, min_nodes: int, path: str | None = None) -> list[tuple[int, int, int, list[int]]]:
+    with open(path or file, encoding="utf-8", errors="replace", newline="") as source:
         return scan_text(file, source.read(), min_lines, min_nodes)
 
 
 def source_entries(sources: DataFrame, min_lines: int = 4, min_nodes: int = 20) -> DataFrame:
-    """Entries of a table of sources (ordinal, file, text), parsed where its partitions lie.
+    """Entries of a table of sources (ordinal, file, text, path), parsed where its partitions lie.
 
-    A null text is read from the file's path, which then must be reachable from every executor.
+    A null text is read from path, which then must be reachable from every executor.
     """
     ship_package(sources.sparkSession)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for ordinal, file, text in zip(frame["ordinal"], frame["file"], frame["text"]):
-                found = scan_file(file, min_lines, min_nodes) if text is None else scan_text(file, text, min_lines, min_nodes)
+            for ordinal, file, text, path in zip(frame["ordinal"], frame["file"], frame["text"], frame["path"]):
+                found = scan_file(file, min_lines, min_nodes, path) if text is None else scan_text(file, text, min_lines, min_nodes)
                 rows += [(ordinal * ENTRIES_PER_FILE + i, file, *entry) for i, entry in enumerate(found)]
             yield pd.DataFrame(rows, columns=["entry_id", "file", "start_line", "end_line", "nodes", "fingerprints"])
 
-    return sources.select(F.col("ordinal").cast("bigint").alias("ordinal"), "file", "text").mapInPandas(scan, ENTRY_SCHEMA)
+    return sources.select(F.col("ordinal").cast("bigint").alias("ordinal"), "file", "text", "path").mapInPandas(scan, ENTRY_SCHEMA)
 
 
 def listed_sources(spark: SparkSession, files: list[str]) -> DataFrame:
     """The sources table of files by path, spread over the cluster."""
-    rows = spark.createDataFrame([(i, file, None) for i, file in enumerate(files)], "ordinal bigint, file string, text string")
+    rows = spark.createDataFrame([(i, file, None, os.path.abspath(file)) for i, file in enumerate(files)], "ordinal bigint, file string, text string, path string")
     return rows.repartition(max(1, min(len(files), 4 * shuffle_partitions(spark))), "ordinal") if len(files) > 8 else rows
