@@ -41,15 +41,17 @@ def with_signature(entries: DataFrame) -> DataFrame:
 
 
 def distinct_sets(entries: DataFrame) -> DataFrame:
-    """(sig, fingerprints, n, members, files, first_*, other_*): one row for each distinct set.
+    """(sig, fingerprints, n, members, least_id, first, other): one row for each distinct set.
 
-    first is the member of the smallest (file, entry_id), other that of the greatest.
+    least_id is its smallest entry_id; first is the member of the smallest (file, entry_id), other that of
+    the greatest.
     """
     member = F.struct("file", "entry_id")
     return with_signature(entries).groupBy("sig").agg(
         F.first("fingerprints").alias("fingerprints"),
         F.first(F.size("fingerprints")).alias("n"),
         F.count(F.lit(1)).alias("members"),
+        F.min("entry_id").alias("least_id"),
         F.min(member).alias("first"),
         F.max(member).alias("other"),
     )

@@ -33,7 +33,8 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it back; the files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # A file for each few shuffle partitions is enough, and no fewer tasks than cores compute them.
+    df.coalesce(2 * spark.sparkContext.defaultParallelism).write.parquet(path)
     jvm = spark.sparkContext._jvm
     handle = jvm.org.apache.hadoop.fs.Path(path)
     handle.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(handle)

@@ -14,10 +14,15 @@ def words(text: Column) -> Column:
 
 
 def shingles(tokens: Column, size: int) -> Column:
-    """Runs of size tokens, joined by a space; none from fewer tokens."""
-    last = F.size(tokens) - size
-    run = lambda i: F.array_join(F.slice(tokens, i + 1, size), " ")
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), run)).otherwise(F.array().cast("array<string>"))
+    """Runs of size tokens, joined by a space; none from fewer tokens.
+
+    Built from shifted copies of the array: a lambda that indexed tokens would evaluate the whole array,
+    text and all, for each of its elements once projections are collapsed.
+    """
+    runs = tokens
+    for shift in range(1, size):
+        runs = F.zip_with(runs, F.slice(tokens, shift + 1, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(runs, lambda run: run.isNotNull())
 
 
 def fingerprint_set(tokens: Column) -> Column:
@@ -39,17 +44,17 @@ def document_entries(documents: DataFrame, size: int = 3) -> DataFrame:
     ).where("nodes > 0")
 
 
-def window_entries(documents: DataFrame, lines: int = 4) -> DataFrame:
-    """One entry for each run of lines in a document: the set of its words."""
+def window_entries(documents: DataFrame, lines: int = 4, size: int = 3) -> DataFrame:
+    """One entry for each run of lines in a document: its word shingles."""
     cut = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"), F.split("text", "\n").alias("all"))
-    windows = cut.where(F.col("at") + lines <= F.size("all")).select("doc_id", "at", words(F.array_join(F.slice("all", F.col("at") + 1, lines), "\n")).alias("words"))
+    windows = cut.where(F.col("at") + lines <= F.size("all")).select("doc_id", "at", shingles(words(F.array_join(F.slice("all", F.col("at") + 1, lines), "\n")), size).alias("runs"))
     return windows.select(
         (F.col("doc_id") * 100_000 + F.col("at")).alias("entry_id"),
         F.col("doc_id").cast("string").alias("file"),
         (F.col("at") + 1).alias("start_line"),
         (F.col("at") + lines).alias("end_line"),
-        F.size("words").alias("nodes"),
-        fingerprint_set(F.col("words")).alias("fingerprints"),
+        F.size("runs").alias("nodes"),
+        fingerprint_set(F.col("runs")).alias("fingerprints"),
     ).where("nodes > 0")
 
 
