@@ -33,8 +33,8 @@ from echofold.llm.common import map_batches, normal_text
 LONG_PIECE = 96
 ROUNDS = 24
 #: Pieces encoded by one query, and pieces in a generation of the cache.
-QUERY_BYTES = 1_500_000
-CACHE_PIECES = 200_000
+QUERY_BYTES = 400_000
+CACHE_PIECES = 150_000
 #: Characters that the pattern's \s stands for in the encoder this follows.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -166,13 +166,18 @@ class PieceEncoder:
         self.db.register("done", pa.concat_tables(done))
         found = self.db.sql(DECODE_SQL).to_arrow_table()
         self.db.unregister("done")
-        ids = found.column("ids").combine_chunks()
-        flat, ends = ids.flatten().to_numpy().astype(np.int32), np.cumsum(found.column("n").to_numpy())
-        blob, at = flat.tobytes(), 0
-        out = []
-        for end, text, decoded in zip((4 * ends).tolist(), found.column("ids_text").to_pylist(), found.column("decoded").to_pylist()):
-            out.append(Encoded(((end - at) // 4, blob[at:end], text, b"".join(decoded))))
-            at = end
+        count = found.column("n").to_numpy()
+        ids = found.column("ids").combine_chunks().flatten().to_numpy().astype(np.int32).tobytes()
+        tokens = found.column("decoded").combine_chunks().flatten().cast(pa.large_binary())
+        _, starts, data = tokens.buffers()
+        starts = np.frombuffer(starts, np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
+        plain = data.to_pybytes()
+        ends = np.cumsum(count)
+        plain_ends = starts[ends]
+        out, at, plain_at = [], 0, int(starts[0])
+        for n, end, text, plain_end in zip(count.tolist(), (4 * ends).tolist(), found.column("ids_text").to_pylist(), plain_ends.tolist()):
+            out.append(Encoded((n, ids[at:end], text, plain[plain_at:plain_end])))
+            at, plain_at = end, plain_end
         return out
 
     def learn(self, pieces: set[str]) -> dict[str, Encoded]:

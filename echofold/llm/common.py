@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from echofold.plans.session import ship_package, shuffle_partitions
 
 #: Text bytes in one slice of an Arrow batch that a Python operator works on at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 #: The six ASCII white-space characters, [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\f\r"
@@ -24,14 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each piece holds about limit bytes of the column, one row at least."""
+#: Most rows and bytes of the Arrow batches that executors exchange with Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The text column, or the text inside whole rows (row_), with "" for null."""
+    found = batch.column("text") if "text" in batch.schema.names else batch.column("row_").field("text")
+    return found.fill_null("")
+
+
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each piece holds about limit bytes of text, one row at least."""
     if batch.num_rows == 0:
         return
-    if batch.column(column).nbytes <= limit:
-        yield batch
-        return
-    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(texts_of(batch)).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
         if held and held + size > limit:
@@ -41,13 +48,23 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
     yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, column: str = "text") -> DataFrame:
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches to those that bounded memory asks for."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """work over slices of Arrow batches; one slice is in memory at a time."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, column):
+            for piece in slices(batch):
                 yield work(piece)
 
     return df.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import ASCII_SPACE, map_batches, normal_text, unpack_rows, whole_rows
+from echofold.llm.common import ASCII_SPACE, map_batches, texts_of, unpack_rows, whole_rows
 from echofold.plans.staging import staged
 
 SALTS = 16
@@ -41,7 +41,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, keys = [], []
-        for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+        for i, text in enumerate(texts_of(batch).cast(pa.binary()).to_pylist()):
             found = {k for line in text.split(b"\n") if len(line) >= min_chars and (k := line_key(line, min_chars))}
             at += [i] * len(found)
             keys += found
@@ -61,16 +61,17 @@ def lost_keys(pairs: DataFrame, min_docs: int) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For each row: doc_id, n_lines, n_dropped, kept_sha256; with_text adds kept and row_ (all columns)."""
+    """For each row: doc_id, n_lines, n_dropped, kept_sha256; with_text adds kept (null where nothing is dropped) and row_ (all columns)."""
     row, _ = whole_rows(docs)
-    given = docs.select(docs[id_column].alias("doc_id"), normal_text(docs[text_column]).alias("text"), *([row] if with_text else []))
-    pairs = staged(line_keys(given, min_chars), "line-keys")
+    plain = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
+    given = docs.select(docs[id_column].alias("doc_id"), row) if with_text else plain
+    pairs = staged(line_keys(plain, min_chars), "line-keys")
     lost = lost_keys(pairs, min_docs).select(F.col("doc_id").alias("lost_id"), "lost")
     joined = given.join(lost, given["doc_id"].eqNullSafe(F.col("lost_id")), "left").drop("lost_id")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_lines, n_dropped, sha, kept = [], [], [], []
-        for text, gone in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lost").to_pylist()):
+        for text, gone in zip(texts_of(batch).cast(pa.binary()).to_pylist(), batch.column("lost").to_pylist()):
             lines = text.split(b"\n")
             stay = lines
             if gone:
@@ -81,13 +82,13 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_tex
             n_dropped.append(len(lines) - len(stay))
             sha.append(hashlib.sha256(out).hexdigest())
             if with_text:
-                kept.append(out)
+                kept.append(out if len(stay) < len(lines) else None)
         columns = {"doc_id": batch.column("doc_id"), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         if with_text:
             columns |= {"kept": pa.array(kept, pa.binary()).cast(pa.string()), "row_": batch.column("row_")}
         return pa.RecordBatch.from_pydict(columns)
 
-    schema = given.select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.lit("").alias("kept_sha256"), *([F.lit("").alias("kept"), "row_"] if with_text else [])).schema
+    schema = given.select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.lit("").alias("kept_sha256"), *([F.lit(None).cast("string").alias("kept"), "row_"] if with_text else [])).schema
     return map_batches(joined, work, schema)
 
 

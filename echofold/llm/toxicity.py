@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import fold_of, held_out, map_batches, normal_text, sampled_texts, unpack_rows, whole_rows
+from echofold.llm.common import fold_of, held_out, map_batches, sampled_texts, texts_of, unpack_rows, whole_rows
 
 FOLDS, HELD_FOLD = 4, 2
 POSITIVES, UNLABELLED, LABELLED = 3000, 9000, 6000
@@ -35,7 +35,7 @@ LEAST_GAIN = 4.0
 BEGINNINGS = (4, 5, 6)
 CUT = 0.3
 EPOCHS, BATCH, RATE, DECAY = 40, 600, 0.02, 1e-4
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 _BLANKS = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
@@ -199,12 +199,12 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 def score(docs: DataFrame, model: ToxicModel, with_rows: bool = False) -> DataFrame:
     """For each row: doc_id, held_out, score, predicted; with_rows adds row_ (all columns)."""
     row, _ = whole_rows(docs)
-    given = docs.select(docs["doc_id"].alias("doc_id"), normal_text(docs["text"]).alias("text"), *([row] if with_rows else []))
+    given = docs.select(docs["doc_id"].alias("doc_id"), row if with_rows else docs["text"].alias("text"))
     carrier = given.sparkSession.sparkContext.broadcast(model)
     names = [n for n in given.columns if n != "text"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = carrier.value.scores(batch.column("text").to_pylist())
+        found = carrier.value.scores(texts_of(batch).to_pylist())
         return pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {"score": pa.array(found, pa.float64())})
 
     scored = map_batches(given, work, given.select(*names, F.lit(0.0).alias("score")).schema)
