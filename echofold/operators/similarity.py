@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from echofold.plans.staging import staged
+
 #: Slack on the two size bounds (never on the final test): 0.81 of 500 is 405, which binary doubles miss.
 BOUND_SLACK = 1e-9
 
@@ -149,6 +151,6 @@ def similar_edges(entries: DataFrame, sets: DataFrame, pairs: DataFrame) -> Data
 
 def matching_edges(entries: DataFrame, threshold: float) -> DataFrame:
     """(l, r, score): edges whose components, score ranges and entries are those of all matching pairs."""
-    sets = distinct_sets(entries)
-    pairs = similar_sets(sets, threshold)
+    sets = staged(distinct_sets(entries), "sets")
+    pairs = staged(similar_sets(sets, threshold), "set-pairs")
     return identical_edges(entries).unionByName(similar_edges(entries, sets, pairs))

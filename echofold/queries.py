@@ -17,6 +17,7 @@ from echofold.operators import similarity as S
 from echofold.operators.clusters import clusters, numbered
 from echofold.plans import report
 from echofold.plans.finder import cluster_entries
+from echofold.plans.staging import staged
 from echofold.sources.diff import WHOLE_FILE_END, parse_unified_diff
 from echofold.sources.tables import document_entries, page_entries, window_entries
 from echofold.sources.typescript import source_entries
@@ -144,7 +145,7 @@ def _similar_pairs(threshold: float):
 
     @query(f"similar_pairs_t{round(100 * threshold):03d}", sql)
     def run(spark, sf_dir):
-        sets = S.distinct_sets(_documents(spark, sf_dir))
+        sets = staged(S.distinct_sets(_documents(spark, sf_dir)), "sets")
         pairs = S.similar_sets(sets, threshold)
         ids = sets.select("sig", "least_id")
         named = pairs.join(ids.withColumnsRenamed({"sig": "a", "least_id": "x"}), "a").join(ids.withColumnsRenamed({"sig": "b", "least_id": "y"}), "b")
@@ -160,7 +161,7 @@ WITH tags AS (SELECT page_id AS entry_id, list_transform(regexp_extract_all(coal
 entries AS (SELECT entry_id, list_sort(list_distinct({_RUNS.format(w="w")})) AS fps FROM tags WHERE len(w) >= 3),
 {_SETS}, {_SET_PAIRS.format(t=THRESHOLD)} SELECT a, b, score FROM pairs""")
 def similar_pages(spark, sf_dir):
-    sets = S.distinct_sets(page_entries(_table(spark, sf_dir, "pages")))
+    sets = staged(S.distinct_sets(page_entries(_table(spark, sf_dir, "pages"))), "sets")
     ids = sets.select("sig", "least_id")
     named = S.similar_sets(sets, THRESHOLD).join(ids.withColumnsRenamed({"sig": "a", "least_id": "x"}), "a").join(ids.withColumnsRenamed({"sig": "b", "least_id": "y"}), "b")
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")

@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 BLANK = r"[ \t\n\f\r]+"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as cores: a table of one file is one task otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(value: Column) -> Column:
+    """value as a generated column: projections aren't collapsed across it, so it is evaluated once a row."""
+    return F.explode(F.array(value))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANK), lambda w: w != "")
 
@@ -32,42 +43,44 @@ def fingerprint_set(tokens: Column) -> Column:
 
 def document_entries(documents: DataFrame, size: int = 3) -> DataFrame:
     """One entry a document: its word shingles. nodes counts shingles with repeats, lines are the text's."""
-    held = documents.select("doc_id", "text", words(F.col("text")).alias("words"))
-    runs = held.select("doc_id", "text", shingles(F.col("words"), size).alias("runs"))
+    given = spread(documents.select("doc_id", "text"))
+    held = given.select("doc_id", F.size(F.split("text", "\n")).alias("lines"), once(words(F.col("text"))).alias("words"))
+    runs = held.select("doc_id", "lines", once(shingles(F.col("words"), size)).alias("runs")).where("size(runs) > 0")
     return runs.select(
         F.col("doc_id").alias("entry_id"),
         F.col("doc_id").cast("string").alias("file"),
         F.lit(1).alias("start_line"),
-        F.size(F.split("text", "\n")).alias("end_line"),
+        F.col("lines").alias("end_line"),
         F.size("runs").alias("nodes"),
-        fingerprint_set(F.col("runs")).alias("fingerprints"),
-    ).where("nodes > 0")
+        once(fingerprint_set(F.col("runs"))).alias("fingerprints"),
+    )
 
 
 def window_entries(documents: DataFrame, lines: int = 4, size: int = 3) -> DataFrame:
     """One entry for each run of lines in a document: its word shingles."""
-    cut = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"), F.split("text", "\n").alias("all"))
-    windows = cut.where(F.col("at") + lines <= F.size("all")).select("doc_id", "at", shingles(words(F.array_join(F.slice("all", F.col("at") + 1, lines), "\n")), size).alias("runs"))
-    return windows.select(
+    cut = spread(documents.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"), F.split("text", "\n").alias("all"))
+    tokens = words(F.array_join(F.slice("all", F.col("at") + 1, lines), "\n"))
+    windows = cut.where(F.col("at") + lines <= F.size("all")).select("doc_id", "at", once(tokens).alias("words"))
+    runs = windows.select("doc_id", "at", once(shingles(F.col("words"), size)).alias("runs")).where("size(runs) > 0")
+    return runs.select(
         (F.col("doc_id") * 100_000 + F.col("at")).alias("entry_id"),
         F.col("doc_id").cast("string").alias("file"),
         (F.col("at") + 1).alias("start_line"),
         (F.col("at") + lines).alias("end_line"),
         F.size("runs").alias("nodes"),
-        fingerprint_set(F.col("runs")).alias("fingerprints"),
-    ).where("nodes > 0")
+        once(fingerprint_set(F.col("runs"))).alias("fingerprints"),
+    )
 
 
 def page_entries(pages: DataFrame, size: int = 3) -> DataFrame:
     """One entry a page: runs of its tags, without attributes or text."""
     tags = F.transform(F.regexp_extract_all("html", F.lit("<(/?[a-zA-Z][a-zA-Z0-9]*)"), 1), lambda t: F.lower(t))
-    held = pages.select("page_id", F.coalesce(tags, F.array().cast("array<string>")).alias("tags"))
-    runs = held.select("page_id", "tags", shingles(F.col("tags"), size).alias("runs"))
-    return runs.select(
+    held = spread(pages.select("page_id", "html")).select("page_id", once(F.coalesce(tags, F.array().cast("array<string>"))).alias("tags"))
+    return held.select(
         F.col("page_id").alias("entry_id"),
         F.col("page_id").cast("string").alias("file"),
         F.lit(1).alias("start_line"),
         F.lit(1).alias("end_line"),
         F.size("tags").alias("nodes"),
-        fingerprint_set(F.col("runs")).alias("fingerprints"),
+        once(fingerprint_set(shingles(F.col("tags"), size))).alias("fingerprints"),
     ).where("size(fingerprints) > 0")
