@@ -43,9 +43,9 @@ def with_signature(entries: DataFrame) -> DataFrame:
 
 
 def distinct_sets(entries: DataFrame) -> DataFrame:
-    """(sig, fingerprints, n, members, least_id, first, other): one row for each distinct set.
+    """(sig, fingerprints, n, members, set_id, first, other): one row for each distinct set.
 
-    least_id is its smallest entry_id; first is the member of the smallest (file, entry_id), other that of
+    set_id is its smallest entry_id, by which the set is known; first is the member of the smallest (file, entry_id), other that of
     the greatest.
     """
     member = F.struct("file", "entry_id")
@@ -53,7 +53,7 @@ def distinct_sets(entries: DataFrame) -> DataFrame:
         F.first("fingerprints").alias("fingerprints"),
         F.first(F.size("fingerprints")).alias("n"),
         F.count(F.lit(1)).alias("members"),
-        F.min("entry_id").alias("least_id"),
+        F.min("entry_id").alias("set_id"),
         F.min(member).alias("first"),
         F.max(member).alias("other"),
     )
@@ -65,14 +65,17 @@ def token_frequency(sets: DataFrame) -> DataFrame:
 
 
 def prefix_tokens(sets: DataFrame, threshold: float) -> DataFrame:
-    """(f, sig, n): prefix tokens that occur in two sets or more.
+    """(f, set_id, n): prefix tokens that occur in two sets or more.
 
-    A token of one set holds its place in the prefix but can't meet another, so it isn't joined.
+    A token of one set only comes first in the order by rarity and can't meet another: such tokens take up
+    their places of the prefix by their number alone and are dropped before anything is sorted.
     """
-    exploded = sets.select("sig", "n", F.explode("fingerprints").alias("f"))
-    ordered = Window.partitionBy("sig").orderBy("frequency", "f")
-    placed = exploded.join(token_frequency(sets), "f").withColumn("place", F.row_number().over(ordered))
-    return placed.where((F.col("place") <= prefix_length(F.col("n"), threshold)) & (F.col("frequency") > 1)).select("f", "sig", "n")
+    exploded = sets.select("set_id", "n", F.explode("fingerprints").alias("f"))
+    shared = exploded.join(token_frequency(sets).where("frequency > 1"), "f")
+    own = Window.partitionBy("set_id")
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    placed = shared.withColumn("place", alone + F.row_number().over(own.orderBy("frequency", "f")))
+    return placed.where(F.col("place") <= prefix_length(F.col("n"), threshold)).select("f", "set_id", "n")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -81,14 +84,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score): signatures of different sets with score >= threshold, each pair once."""
+    """(a, b, score): ids of different sets with score >= threshold, each pair once."""
     tokens = prefix_tokens(sets, threshold)
-    left = tokens.select("f", F.col("sig").alias("a"), F.col("n").alias("an"))
-    right = tokens.select("f", F.col("sig").alias("b"), F.col("n").alias("bn"))
+    left = tokens.select("f", F.col("set_id").alias("a"), F.col("n").alias("an"))
+    right = tokens.select("f", F.col("set_id").alias("b"), F.col("n").alias("bn"))
     close = (F.col("a") < F.col("b")) & within_size_window(F.col("an"), F.col("bn"), threshold)
     candidates = left.join(right, "f").where(close).select("a", "b").distinct()
-    held = sets.select("sig", "fingerprints")
-    scored = candidates.join(held.withColumnsRenamed({"sig": "a", "fingerprints": "fa"}), "a").join(held.withColumnsRenamed({"sig": "b", "fingerprints": "fb"}), "b")
+    held = sets.select("set_id", "fingerprints")
+    scored = candidates.join(held.withColumnsRenamed({"set_id": "a", "fingerprints": "fa"}), "a").join(held.withColumnsRenamed({"set_id": "b", "fingerprints": "fb"}), "b")
     return scored.select("a", "b", jaccard(F.col("fa"), F.col("fb")).alias("score")).where(F.col("score") >= F.lit(float(threshold)))
 
 
@@ -127,8 +130,8 @@ def similar_edges(entries: DataFrame, sets: DataFrame, pairs: DataFrame) -> Data
     within one file has each member linked to a member of the other set in another file; only two sets
     within the same file are paired member by member, where they don't overlap.
     """
-    facts = sets.select("sig", "first", "other", (F.col("first.file") != F.col("other.file")).alias("spread"))
-    of = lambda side: facts.select(F.col("sig").alias(side), F.struct("first", "other", "spread").alias(f"{side}_set"))
+    facts = sets.select("set_id", "sig", "first", "other", (F.col("first.file") != F.col("other.file")).alias("spread"))
+    of = lambda side: facts.select(F.col("set_id").alias(side), F.struct("sig", "first", "other", "spread").alias(f"{side}_set"))
     known = pairs.join(of("a"), "a").join(of("b"), "b")
     away = lambda file, side: F.when(F.col(f"{side}_set.first.file") != file, F.col(f"{side}_set.first.entry_id")).otherwise(F.col(f"{side}_set.other.entry_id"))
     a_spread, b_spread = F.col("a_set.spread"), F.col("b_set.spread")
@@ -137,13 +140,13 @@ def similar_edges(entries: DataFrame, sets: DataFrame, pairs: DataFrame) -> Data
     own = with_signature(entries).select("sig", "entry_id", "file", "start_line", "end_line")
     # Every member of a one-file set against the other set, unless that lies in the same file.
     flat = known.where(~one_file)
-    turned = flat.where(~a_spread).select(F.col("a").alias("sig"), F.col("b_set").alias("to_set"), "score").unionByName(
-        flat.where(~b_spread).select(F.col("b").alias("sig"), F.col("a_set").alias("to_set"), "score")
+    turned = flat.where(~a_spread).select(F.col("a_set.sig").alias("sig"), F.col("b_set").alias("to_set"), "score").unionByName(
+        flat.where(~b_spread).select(F.col("b_set.sig").alias("sig"), F.col("a_set").alias("to_set"), "score")
     )
     reach = turned.join(own, "sig")
     linked = reach.select(*_edge(F.col("entry_id"), away(F.col("file"), "to"), F.col("score")))
     side = lambda name: own.select(F.col("sig").alias(name), F.struct("entry_id", "start_line", "end_line").alias(f"{name}_row"))
-    meeting = known.where(one_file).select("a", "b", "score").join(side("a"), "a").join(side("b"), "b")
+    meeting = known.where(one_file).select(F.col("a_set.sig").alias("a"), F.col("b_set.sig").alias("b"), "score").join(side("a"), "a").join(side("b"), "b")
     overlap = (F.col("a_row.start_line") <= F.col("b_row.end_line")) & (F.col("b_row.start_line") <= F.col("a_row.end_line"))
     inside = meeting.where(~overlap).select(*_edge(F.col("a_row.entry_id"), F.col("b_row.entry_id"), F.col("score")))
     return single.unionByName(linked).unionByName(inside).distinct()

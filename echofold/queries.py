@@ -125,7 +125,7 @@ def fingerprint_frequency(spark, sf_dir):
 @query("identical_groups", f"WITH {_DOCUMENT_ENTRIES}, {_SETS} SELECT rep AS first_doc, members, n AS size FROM sets WHERE members > 1")
 def identical_groups(spark, sf_dir):
     sets = S.distinct_sets(_documents(spark, sf_dir)).where("members > 1")
-    return sets.select(F.col("least_id").alias("first_doc"), "members", F.col("n").cast("bigint").alias("size"))
+    return sets.select(F.col("set_id").alias("first_doc"), "members", F.col("n").cast("bigint").alias("size"))
 
 
 @query(
@@ -146,10 +146,7 @@ def _similar_pairs(threshold: float):
     @query(f"similar_pairs_t{round(100 * threshold):03d}", sql)
     def run(spark, sf_dir):
         sets = staged(S.distinct_sets(_documents(spark, sf_dir)), "sets")
-        pairs = S.similar_sets(sets, threshold)
-        ids = sets.select("sig", "least_id")
-        named = pairs.join(ids.withColumnsRenamed({"sig": "a", "least_id": "x"}), "a").join(ids.withColumnsRenamed({"sig": "b", "least_id": "y"}), "b")
-        return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+        return S.similar_sets(sets, threshold)
 
 
 for _t in (0.2, 0.5, THRESHOLD, 1.0):
@@ -162,9 +159,7 @@ entries AS (SELECT entry_id, list_sort(list_distinct({_RUNS.format(w="w")})) AS
 {_SETS}, {_SET_PAIRS.format(t=THRESHOLD)} SELECT a, b, score FROM pairs""")
 def similar_pages(spark, sf_dir):
     sets = staged(S.distinct_sets(page_entries(_table(spark, sf_dir, "pages"))), "sets")
-    ids = sets.select("sig", "least_id")
-    named = S.similar_sets(sets, THRESHOLD).join(ids.withColumnsRenamed({"sig": "a", "least_id": "x"}), "a").join(ids.withColumnsRenamed({"sig": "b", "least_id": "y"}), "b")
-    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+    return S.similar_sets(sets, THRESHOLD)
 
 
 # Clusters
