@@ -3,8 +3,9 @@
 Each task splits its texts with the pre-tokenisation pattern and keeps the distinct pieces that it
 has not met before. Their bytes become token-position rows, which a recursive query joins with the
 merge table: in every round each piece contracts its leftmost pair of least rank, until no piece has
-a pair left. Ids are decoded by an ordered aggregation over the vocabulary. Encodings of pieces are
-kept in a bounded two-generation cache of the Python worker, and documents are put together from it.
+a pair left. Each piece's ids are decoded by an ordered aggregation over the vocabulary. Ids of pieces are
+kept in a bounded two-generation cache of the Python worker, and their decoded bytes where they differ from
+the piece's own; documents are put together from both.
 
 A piece of over LONG_PIECE bytes contracts in one round every occurrence of the pair of least rank,
 leftmost first and without overlap, where that provably equals one contraction at a time: no
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import duckdb
@@ -33,10 +35,10 @@ from echofold.llm.common import map_batches, normal_text
 LONG_PIECE = 96
 ROUNDS = 24
 #: Pieces encoded by one query, and pieces in a generation of the cache.
-QUERY_BYTES = 400_000
-CACHE_PIECES = 150_000
+QUERY_BYTES = 200_000
+CACHE_PIECES = 200_000
 #: Characters that the pattern's \s stands for in the encoder this follows.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 SHORT_SQL = """
 WITH RECURSIVE state(round, piece, pos, nxt, tok) AS (
@@ -100,8 +102,7 @@ FROM state JOIN (SELECT piece AS p, max(round) AS last FROM state GROUP BY piece
 """
 
 DECODE_SQL = """
-SELECT piece, list(tok ORDER BY pos) AS ids, count(*) AS n, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids_text,
-       list(bytes ORDER BY pos) AS decoded
+SELECT piece, list(tok ORDER BY pos) AS ids, count(*) AS n, list(bytes ORDER BY pos) AS decoded
 FROM done JOIN vocab USING (tok) GROUP BY piece ORDER BY piece
 """
 
@@ -111,12 +112,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Encoded(tuple):
-    """Of one piece: (number of ids, int32 bytes of the ids, ids as decimal text, decoded bytes)."""
-
-    __slots__ = ()
-
-
 class PieceEncoder:
     """Encodes pieces by the rank file at path; one for each Python worker."""
 
@@ -139,8 +134,11 @@ class PieceEncoder:
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.young: dict[str, Encoded] = {}
-        self.old: dict[str, Encoded] = {}
+        #: int32 ids of pieces, and their decoded bytes where those aren't the piece's own.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.otherwise: dict[str, bytes] = {}
+        self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
 
     def _fixpoint(self, seed: pa.Table, sql: str) -> list[pa.Table]:
         done = []
@@ -154,8 +152,8 @@ class PieceEncoder:
             seed = state.filter(more).select(["piece", "pos", "nxt", "tok"])
         return done
 
-    def _query(self, pieces: list[bytes]) -> list[Encoded]:
-        """Pieces of at least one byte each."""
+    def _query(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids and decoded bytes of pieces of at least one byte each."""
         lengths = np.array([len(p) for p in pieces])
         data = np.frombuffer(b"".join(pieces), np.uint8)
         piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
@@ -175,13 +173,13 @@ class PieceEncoder:
         ends = np.cumsum(count)
         plain_ends = starts[ends]
         out, at, plain_at = [], 0, int(starts[0])
-        for n, end, text, plain_end in zip(count.tolist(), (4 * ends).tolist(), found.column("ids_text").to_pylist(), plain_ends.tolist()):
-            out.append(Encoded((n, ids[at:end], text, plain[plain_at:plain_end])))
+        for end, plain_end in zip((4 * ends).tolist(), plain_ends.tolist()):
+            out.append((ids[at:end], plain[plain_at:plain_end]))
             at, plain_at = end, plain_end
         return out
 
-    def learn(self, pieces: set[str]) -> dict[str, Encoded]:
-        """A dict that holds all of pieces, and maybe others."""
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of all of pieces, and maybe of others."""
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
         young, old, fresh = self.young, self.old, []
@@ -196,7 +194,10 @@ class PieceEncoder:
         for i, p in enumerate(raw):
             held += len(p)
             if held > QUERY_BYTES or i + 1 == len(raw):
-                young.update(zip(fresh[start : i + 1], self._query(raw[start : i + 1])))
+                for p, own, (ids, decoded) in zip(fresh[start : i + 1], raw[start : i + 1], self._query(raw[start : i + 1])):
+                    young[p] = ids
+                    if decoded != own:
+                        self.otherwise[p] = decoded
                 start, held = i + 1, 0
         return young
 
@@ -206,12 +207,18 @@ def _encoder(path: str, pattern: str) -> PieceEncoder:
     return PieceEncoder(path, pattern)
 
 
-def encode_texts(texts: list[str], path: str, pattern: str) -> list[list[Encoded]]:
-    """The pieces of each text, encoded."""
+def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[tuple[np.ndarray, str, bytes]]:
+    """For each text its ids, the ids as decimal text, and the bytes that they decode to."""
     encoder = _encoder(path, pattern)
     split = [encoder.split(t) for t in texts]
-    known = encoder.learn(set().union(*split))
-    return [[known[p] for p in pieces] for pieces in split]
+    known, otherwise, decimal = encoder.learn(set().union(*split)), encoder.otherwise, encoder.decimal
+    for pieces in split:
+        ids = np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
+        if otherwise:
+            decoded = b"".join([otherwise.get(p) or p.encode("utf-8", "surrogatepass") for p in pieces])
+        else:
+            decoded = "".join(pieces).encode("utf-8", "surrogatepass")
+        yield ids, ",".join([decimal[i] for i in ids.tolist()]), decoded
 
 
 def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -222,13 +229,12 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_tokens, ids_sha, decoded_sha, ids = [], [], [], []
-        for pieces in encode_texts(batch.column("text").to_pylist(), path, pattern):
-            count, packed, text, decoded = zip(*pieces) if pieces else ((), (), (), ())
-            n_tokens.append(sum(count))
-            ids_sha.append(hashlib.sha256(",".join(text).encode()).hexdigest())
-            decoded_sha.append(hashlib.sha256(b"".join(decoded)).hexdigest())
+        for found, text, decoded in encode_texts(batch.column("text").to_pylist(), path, pattern):
+            n_tokens.append(len(found))
+            ids_sha.append(hashlib.sha256(text.encode()).hexdigest())
+            decoded_sha.append(hashlib.sha256(decoded).hexdigest())
             if with_ids:
-                ids.append(np.frombuffer(b"".join(packed), np.int32))
+                ids.append(found)
         out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}
         if with_ids:
             out["ids"] = pa.array(ids, pa.list_(pa.int32()))
@@ -244,6 +250,6 @@ def decode(ids: list[int], path: str, pattern: str) -> bytes:
     """The bytes of ids, by an ordered aggregation over the vocabulary."""
     encoder = _encoder(path, pattern)
     encoder.db.register("done", pa.table({"pos": pa.array(range(len(ids)), pa.int32()), "tok": pa.array(ids, pa.int32())}))
-    found = encoder.db.execute("SELECT list(bytes ORDER BY pos) FROM done JOIN vocab USING (tok)").fetchone()[0]
+    found = encoder.db.sql("SELECT list(bytes ORDER BY pos) FROM done JOIN vocab USING (tok)").fetchall()[0][0]
     encoder.db.unregister("done")
     return b"".join(found or [])

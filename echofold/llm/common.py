@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,12 @@ SLICE_BYTES = 2 << 20
 ASCII_SPACE = " \t\n\x0b\f\r"
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +64,13 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and so would its peak."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """work over slices of Arrow batches; one slice is in memory at a time."""
     ship_package(df.sparkSession)
@@ -66,6 +80,7 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in batches:
             for piece in slices(batch):
                 yield work(piece)
+            give_back()
 
     return df.mapInArrow(run, schema)
 
