@@ -28,8 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import RangeBuckets, map_batches, normal_text, slices
+from echofold.llm.common import RangeBuckets, bound_batches, give_back, join_by_key, map_batches, normal_text, slices
+from echofold.operators.components import connected_components
+from echofold.operators.similarity import distinct_sets, similar_sets
 from echofold.plans.session import ship_package, shuffle_partitions
+from echofold.plans.staging import staged
 
 CHAIN = 2
 REACH = 6
@@ -104,6 +107,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             types = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        give_back()
     if held is not None:
         raise ValueError(f"range {held[0]} ends without the document after its last")
 
@@ -112,6 +116,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     ship_package(spark)
+    bound_batches(spark)
     given = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("key"), normal_text(docs["text"]).alias("text"))
     given = given.withColumn("tie", F.xxhash64("text"))
     top = given.agg(F.max(F.struct("key", "tie")).alias("top")).first()["top"]
@@ -137,3 +142,28 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     kind = given.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.select("bucket", "tail", "doc_id", "text").mapInArrow(_compared, schema)
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """For each row: doc_id, class_id, the smallest id among documents connected by likeness >= threshold.
+
+    Sets are compared only within the lengths that the threshold allows, and only where they share one of
+    their rarest signatures; the rest is pruned without loss. Equal sets are one set from the start. All
+    texts without signatures are one class. A null id names a class only if the class has no other.
+    """
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sorted(h - (1 << 64) if h >> 63 else h for h in signatures(t)) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fingerprints"])
+
+    given = docs.select(docs["doc_id"].alias("doc_id"), normal_text(docs["text"]).alias("text"))
+    kind = given.schema["doc_id"].dataType.simpleString()
+    sets_of = map_batches(given, work, f"doc_id {kind}, fingerprints array<bigint>")
+    rows = staged(sets_of.withColumn("entry_id", F.xxhash64("fingerprints")).withColumn("file", F.lit("")), "signatures")
+    groups = connected_components(similar_sets(staged(distinct_sets(rows), "sets"), threshold))
+    members = rows.groupBy("entry_id").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("alike"))
+    labelled = members.join(groups.withColumnRenamed("node", "entry_id"), "entry_id", "left").withColumn("label", F.coalesce("component", "entry_id"))
+    labelled = staged(labelled.select("entry_id", "least_id", "alike", "label"), "members")
+    least = labelled.groupBy("label").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+    named = join_by_key(labelled.drop("least_id"), least, "label", "size", labelled.count()).select("entry_id", "alike", "class_id")
+    return join_by_key(rows.select("doc_id", "entry_id"), named, "entry_id", "alike", rows.count()).select("doc_id", "class_id")

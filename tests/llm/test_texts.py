@@ -45,6 +45,7 @@ OPERATORS = {
     "one_of_each": lambda docs: simhash.one_of_each(docs),
     "count_tokens": lambda docs: token_counts.count_tokens(docs, VOCABULARY, 2048),
     "compare_with_next": lambda docs: spotsigs.compare_with_next(docs),
+    "near_duplicate_classes": lambda docs: spotsigs.near_duplicate_classes(docs),
     "encode": lambda docs: bpe.encode(docs, RANKS, PATTERN),
     "score": lambda docs: toxicity.score(docs, toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))),
     "accepted": lambda docs: toxicity.accepted_documents(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")),
@@ -257,6 +258,32 @@ def test_compare_with_next(awkward, as_rows):
             assert (r.fingerprint, r.edited_fingerprint) == (spotsigs.fingerprint(a), spotsigs.fingerprint(b))
 
 
+def test_near_duplicate_classes(spark, as_rows):
+    rnd = random.Random(12)
+    plain = "the of and to in stone river green walks under bright morning glass paper window quiet number seven".split()
+    docs = []
+    for g in range(12):
+        base = [rnd.choice(plain) for _ in range(120)]
+        for _ in range(rnd.choice([1, 2, 6])):
+            text = list(base)
+            for _ in range(rnd.choice([0, 0, 1, 2, 8])):
+                text[rnd.randrange(120)] = rnd.choice(plain)
+            docs.append((len(docs), " ".join(text)))
+    docs += [(500, ""), (501, None)]
+    sigs = {d: spotsigs.signatures(t or "") for d, t in docs}
+    parent = {d: d for d, _ in docs}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, _ in docs:
+        for b, _ in docs:
+            if a < b and spotsigs.likeness(sigs[a], sigs[b]) >= 0.8 and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    found = spotsigs.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert as_rows(found, "doc_id", "class_id") == sorted(((d, root(d)) for d, _ in docs), key=repr)
+
+
 def test_signatures():
     text = "the quick fox of a forest runs"
     expected = {b"the quick fox", b"of forest runs", b"a forest runs"}
