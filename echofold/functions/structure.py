@@ -62,6 +62,21 @@ def post_order(root: Node) -> tuple[list[int], list[tuple[Node, int, int]]]:
     return hashes, found
 
 
+def node_count(node: Node) -> int:
+    """Nodes and markers of a subtree, the node itself included."""
+    waiting, total = [node], 0
+    while waiting:
+        now = waiting.pop()
+        total += 1 + len(now.marks)
+        waiting += now.kids
+    return total
+
+
+def fingerprints(node: Node) -> set[int]:
+    """The distinct hashes of a subtree."""
+    return set(post_order(Node("", 0, 0, [node], []))[0])
+
+
 def candidates(root: Node, text: str, min_lines: int, min_nodes: int) -> Iterator[tuple[int, int, int, list[int]]]:
     """(start_line, end_line, nodes, fingerprints) of the regions large enough, in document order."""
     lines = LineMap(text)

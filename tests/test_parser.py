@@ -95,3 +95,11 @@ def test_deep_nesting():
 def test_lines_follow_all_breaks():
     (entry,) = scan_text("a.ts", "// c\r\n/** doc */\rfunction f() { return 1;\n}", 1, 1)
     assert entry[:2] == (3, 5)
+
+
+def test_public_names():
+    import echofold
+
+    assert all(getattr(echofold, name) is not None for name in echofold.__all__)
+    (function,) = parse(EXACT, False).kids
+    assert echofold.node_count(function) == 13 and len(echofold.fingerprints(function)) == 12
