@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from echofold.operators.components import connected_components
+from echofold.operators.ranking import ranked
 
 LOCATION = ["file", "start_line", "end_line"]
 
@@ -57,11 +57,9 @@ def report_order(found: DataFrame) -> DataFrame:
 
 
 def numbered(members: DataFrame) -> DataFrame:
-    """(rank, cluster_id, ...): clusters with their 1-based place in the report; one row each, no locations.
-
-    Report-sized: ranking all clusters takes one ordered pass.
-    """
+    """(rank, cluster_id, ...): each cluster with its 1-based place in the report order."""
     first = F.min(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(collated(F.col("file")))], "start_line", "end_line"))
     heads = members.groupBy("cluster_id", "score_min", "score_max", "location_count").agg(first.alias("first"))
-    place = F.row_number().over(Window.orderBy(F.desc("score_max"), "first"))
-    return heads.select(place.alias("rank"), "cluster_id", "score_min", "score_max", "location_count", F.col("first.k1").alias("first_file"))
+    flat = heads.select("cluster_id", "score_min", "score_max", "location_count", "first.*", (-F.col("score_max")).alias("falling"))
+    placed = ranked(flat, [], ["falling", "k0", "k1", "start_line", "end_line"])
+    return placed.select(F.col("k").alias("rank"), "cluster_id", "score_min", "score_max", "location_count", F.col("k1").alias("first_file"))

@@ -333,7 +333,7 @@ def ts_entries(spark, sf_dir):
 def ts_clusters(spark, sf_dir):
     members = cluster_entries(typescript_entries(spark, TYPESCRIPT), 0.95)
     ranks = numbered(members).select("rank", "cluster_id")
-    return members.join(ranks, "cluster_id").select("rank", "file", "start_line", "end_line", "nodes")
+    return members.join(ranks, "cluster_id").select(F.col("rank").cast("int").alias("rank"), "file", "start_line", "end_line", "nodes")
 
 
 # A statement and its arrow function share their lines: two entries, one location, nodes of the larger, which are
