@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from echofold.llm.common import join_by_key, unpack_rows, whole_rows
-from echofold.plans.session import shuffle_partitions
+from echofold.operators.ranking import ranked
 from echofold.plans.staging import staged
 
 #: Fixed values of the production mix.
@@ -39,27 +39,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def ranked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """rows with k, their 1-based rank within the group, in the order given.
-
-    A range partitioning is written out; ranks within each part get the count of the group's rows in
-    earlier parts added. A part holds a bounded share of a group of any size.
-    """
-    parts = shuffle_partitions(rows.sparkSession)
-    spread = staged(rows.repartitionByRange(parts, *group, *order).withColumn("part", F.spark_partition_id()), "ranges")
-    held = spread.groupBy("part", *group).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = held.select("part", *group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("part", *group).orderBy(*order)
-    return spread.withColumn("nth", F.row_number().over(within)).join(offsets, ["part", *group]).withColumn("k", F.col("ahead") + F.col("nth")).drop("part", "nth", "ahead")
-
-
 def source_targets(sources: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """sources (no_source, source_key, n, source_size) with target, by re-sharing the excess of capped sources.
 
     Each round is one aggregate of a few numbers; only those come to the driver.
     """
-    table = ranked(sources.withColumn("one", F.lit(1)), ["one"], ["no_source", "source_key"])
+    table = ranked(sources, [], ["no_source", "source_key"])
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("k") - 1, F.lit(len(weights))) + 1).cast("int"))
     table = staged(table.select("no_source", "source_key", "n", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(cap)).alias("most")), "sources")
     budget = share * (table.agg(F.sum("source_size")).first()[0] or 0)
