@@ -99,6 +99,19 @@ def normal_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def least_hashed(df: DataFrame, hashed: Column, most: int, *ties: str | Column) -> DataFrame:
+    """The rows of least hash, most of them at most; ties settle equal hashes.
+
+    Of a large table only about four times as many rows pass a threshold on the hash before they are
+    ordered, so that what tasks send on for ordering doesn't grow with their number.
+    """
+    place = F.pmod(hashed, F.lit(1 << 40))
+    total = df.count()
+    if total > 8 * most:
+        df = df.where(place < (1 << 40) * 4 * most // total)
+    return df.orderBy(place, *ties).limit(most)
+
+
 class RangeBuckets:
     """Split points of a total order (key, tie), found from a bounded hash sample.
 
@@ -113,13 +126,8 @@ class RangeBuckets:
     @classmethod
     def sample(cls, df: DataFrame, key: str, tie: str, buckets: int | None = None, per_bucket: int = 12) -> "RangeBuckets":
         buckets = buckets or min(4 * shuffle_partitions(df.sparkSession), 8192)
-        rows = (
-            df.select(F.col(key).alias("k"), F.col(tie).alias("t"), F.xxhash64(key, tie).alias("h"))
-            .where("k is not null")
-            .orderBy("h", "k", "t")
-            .limit(buckets * per_bucket)
-            .collect()
-        )
+        keys = df.select(F.col(key).alias("k"), F.col(tie).alias("t")).where("k is not null")
+        rows = least_hashed(keys, F.xxhash64("k", "t"), buckets * per_bucket, "k", "t").collect()
         ordered = sorted({(r["k"], r["t"]) for r in rows})
         step = max(1, len(ordered) // buckets)
         return cls(ordered[step::step])

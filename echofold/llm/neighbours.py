@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from echofold.llm.common import least_hashed
 from echofold.plans.session import ship_package
 from echofold.plans.staging import staged
 
@@ -215,12 +216,12 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, target: float = TA
         return spark.createDataFrame([], schema)
     rows = given.where(usable(F.col("vec"), lengths["dims"]))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    order = [F.xxhash64("vec_id", F.lit(3)), "vec_id", "vec"]
-    sample = rows.orderBy(*order).limit(SAMPLE_ROWS).select("vec").toArrow().column("vec")
+    hashed = F.xxhash64("vec_id", F.lit(3))
+    sample = least_hashed(rows, hashed, SAMPLE_ROWS, "vec_id", "vec").select("vec").toArrow().column("vec")
     if not len(sample):
         return spark.createDataFrame([], schema)
     tree = fit_tree(_matrix(sample))
-    tried = {r["vec_id"]: np.array(r["vec"], np.float64) for r in queries.orderBy(*order).limit(CALIBRATION).collect()}
+    tried = {r["vec_id"]: np.array(r["vec"], np.float64) for r in least_hashed(queries, hashed, CALIBRATION, "vec_id", "vec").collect()}
     if not tried:
         return spark.createDataFrame([], schema)
     truth = exact_neighbours(rows, np.array(list(tried)), np.stack(list(tried.values())), k).collect()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import fold_of, held_out, map_batches, sampled_texts, texts_of, unpack_rows, whole_rows
+from echofold.llm.common import fold_of, held_out, least_hashed, map_batches, sampled_texts, texts_of, unpack_rows, whole_rows
 
 FOLDS, HELD_FOLD = 4, 2
 POSITIVES, UNLABELLED, LABELLED = 3000, 9000, 6000
@@ -180,9 +180,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     prior = min(0.9, shares[1] / sum(shares.values()))
     least = F.xxhash64("doc_id")
     ids = [
-        marked.where("toxic = 1").orderBy(least, "doc_id").limit(POSITIVES).select("doc_id", F.lit("P").alias("role"), "toxic"),
-        marked.orderBy(least, "doc_id").limit(LABELLED).select("doc_id", F.lit("L").alias("role"), "toxic"),
-        docs.select(docs["doc_id"].alias("doc_id")).where(usable).orderBy(least, "doc_id").limit(UNLABELLED).distinct().select("doc_id", F.lit("U").alias("role"), F.lit(-1).alias("toxic")),
+        least_hashed(marked.where("toxic = 1"), least, POSITIVES, "doc_id").select("doc_id", F.lit("P").alias("role"), "toxic"),
+        least_hashed(marked, least, LABELLED, "doc_id").select("doc_id", F.lit("L").alias("role"), "toxic"),
+        least_hashed(docs.select(docs["doc_id"].alias("doc_id")).where(usable), least, UNLABELLED, "doc_id").distinct().select("doc_id", F.lit("U").alias("role"), F.lit(-1).alias("toxic")),
     ]
     rows = sampled_texts(docs, ids[0].unionByName(ids[1]).unionByName(ids[2]), TRAIN_CHARS).collect()
     rows.sort(key=lambda r: (r["role"], r["doc_id"]))
