@@ -108,10 +108,13 @@ def links(nodes: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
     return near.select("a", "b").unionByName(stars).distinct()
 
 
-def labelled(found: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
-    """found (doc_id, fp, ...) with label, the fingerprint that stands for the row's component."""
+def labelled(found: DataFrame, list_most: int = LIST_MOST, near: DataFrame | None = None) -> DataFrame:
+    """found (doc_id, fp, ...) with label, the fingerprint that stands for the row's component.
+
+    near gives links (a, b) between values of fp instead of those by distance.
+    """
     nodes = staged(found.groupBy("fp").agg(F.count(F.lit(1)).alias("alike"), F.min("doc_id").alias("least_id")), "fingerprints")
-    groups = connected_components(links(nodes, list_most))
+    groups = connected_components(links(nodes, list_most) if near is None else near)
     members = nodes.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left")
     members = staged(members.select("fp", "alike", "least_id", F.coalesce("component", "fp").alias("label")), "members")
     # A component may hold a third of all fingerprints: its least id is found by a pre-aggregated
@@ -130,8 +133,11 @@ def near_duplicates(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
 
 def one_of_each(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
     """The rows of docs that stand for their group: its smallest id, one row where ids repeat."""
-    found = staged(fingerprints(docs, tie=True), "simhash")
-    named = labelled(found, list_most)
+    return representatives(docs, labelled(staged(fingerprints(docs, tie=True), "simhash"), list_most))
+
+
+def representatives(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The row of smallest id of each label in named (doc_id, tie, label)."""
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("first"))
     stay = first.select(F.col("first.doc_id").alias("stay_id"), F.col("first.tie").alias("stay_tie"))
     row, names = whole_rows(docs)
