@@ -173,3 +173,14 @@ def sampled_texts(docs: DataFrame, ids: DataFrame, max_chars: int) -> DataFrame:
     """
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where(F.length("text").between(1, max_chars))
     return texts.join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min("text").alias("text"))
+
+
+def within_budget(short: list, drawn: list, most: int, short_chars: int, long_chars: int) -> list:
+    """Up to most training rows (each with chars): the longer ones of drawn that fit into long_chars in all, in
+    their order, and rows of short in the other places, so that a row left out is replaced."""
+    taken, held = [], 0
+    for row in drawn:
+        if row["chars"] > short_chars and held + row["chars"] <= long_chars:
+            taken.append(row)
+            held += row["chars"]
+    return taken + short[: most - len(taken)]

@@ -8,11 +8,12 @@ beginnings, chosen by how far their share of P exceeds their share of U. A final
 logistic scaling, fitted on labelled training rows, turns margins into scores.
 
 Training takes a bounded sample: at most POSITIVES, LABELLED and UNLABELLED rows with the least hashes of
-their ids, of 1 to TRAIN_CHARS characters. Every row is scored by its whole text.
+their ids among those with a text. Texts of over TRAIN_CHARS characters are taken whole while they fit into
+LONG_CHARS for each role; shorter ones take the places of the rest. Every row is scored by its whole text.
 
 Defined results: a null or empty text, or one without any chosen feature, gets the score of no evidence.
 Contradicting labels of one id cancel; labels of null ids, or null, aren't used. Without any toxic
-training row all scores are 0. Rows with null ids are scored and count as not held out.
+training row that has a text of up to LONG_CHARS characters all scores are 0. Rows with null ids are scored and count as not held out.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import fold_of, held_out, least_hashed, map_batches, sampled_texts, texts_of, unpack_rows, whole_rows
+from echofold.llm.common import fold_of, held_out, least_hashed, map_batches, sampled_texts, texts_of, unpack_rows, whole_rows, within_budget
+from echofold.plans.staging import staged
 
 FOLDS, HELD_FOLD = 4, 2
 POSITIVES, UNLABELLED, LABELLED = 3000, 9000, 6000
 TRAIN_CHARS = 20_000
+#: Characters of longer texts that a role takes in all.
+LONG_CHARS = 4_000_000
 FEATURES = 1500
 LEAST_DOCS = 3
 LEAST_GAIN = 4.0
@@ -179,12 +183,15 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         return model
     prior = min(0.9, shares[1] / sum(shares.values()))
     least = F.xxhash64("doc_id")
-    ids = [
-        least_hashed(marked.where("toxic = 1"), least, POSITIVES, "doc_id").select("doc_id", F.lit("P").alias("role"), "toxic"),
-        least_hashed(marked, least, LABELLED, "doc_id").select("doc_id", F.lit("L").alias("role"), "toxic"),
-        least_hashed(docs.select(docs["doc_id"].alias("doc_id")).where(usable), least, UNLABELLED, "doc_id").distinct().select("doc_id", F.lit("U").alias("role"), F.lit(-1).alias("toxic")),
-    ]
-    rows = sampled_texts(docs, ids[0].unionByName(ids[1]).unionByName(ids[2]), TRAIN_CHARS).collect()
+    rows = docs.select(docs["doc_id"].alias("doc_id"), F.length(docs["text"]).alias("chars")).where(usable & F.col("chars").between(1, LONG_CHARS))
+    known = staged(rows.groupBy("doc_id").agg(F.max("chars").alias("chars")).join(marked, "doc_id", "left"), "toxicity-ids")
+    ids = []
+    for role, of_role, most in (("P", known.where("toxic = 1"), POSITIVES), ("L", known.where("toxic is not null"), LABELLED), ("U", known, UNLABELLED)):
+        short = least_hashed(of_role.where(F.col("chars") <= TRAIN_CHARS), least, most, "doc_id").collect()
+        drawn = least_hashed(of_role, least, most, "doc_id").collect()
+        ids += [(r["doc_id"], role, -1 if role == "U" else r["toxic"]) for r in within_budget(short, drawn, most, TRAIN_CHARS, LONG_CHARS)]
+    sample = docs.sparkSession.createDataFrame(ids, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, role string, toxic int")
+    rows = sampled_texts(docs, sample, LONG_CHARS).collect()
     rows.sort(key=lambda r: (r["role"], r["doc_id"]))
     of = {role: [r["text"] for r in rows if r["role"] == role] for role in "PLU"}
     if not of["P"] or not of["U"]:
