@@ -12,7 +12,8 @@ ALPHABET most frequent of the sample become one symbol.
 
 Training takes rows with a language outside the held-out fold: at most ROWS_PER_LANGUAGE each and
 TRAIN_ROWS in all, of 1 to TRAIN_CHARS characters, with the least hashes of their ids, for the
-MOST_LANGUAGES most frequent languages. Every row is predicted from its whole text.
+MOST_LANGUAGES most frequent languages. Longer texts are taken whole while they fit into LONG_CHARS for each
+language; shorter ones take the places of the rest. Every row is predicted from its whole text.
 
 Defined results: a null text, or one without letters, is "und" with score 0; so is every text if there
 is nothing to learn from. Rows with null ids are predicted and count as not held out.
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echofold.llm.common import fold_of, held_out, map_batches, sampled_texts
+from echofold.llm.common import fold_of, held_out, map_batches, sampled_texts, within_budget
+from echofold.plans.staging import staged
 
 FOLDS, HELD_FOLD = 3, 1
 ORDER = 3
@@ -39,6 +41,8 @@ SYMBOLS = ALPHABET + 2
 LANDMARKS = 320
 ROWS_PER_LANGUAGE, TRAIN_ROWS, MOST_LANGUAGES = 400, 6000, 300
 TRAIN_CHARS = 20_000
+#: Characters of longer texts that a language takes in all.
+LONG_CHARS = 200_000
 RIDGE = 1e-4
 UNKNOWN = "und"
 SPACE, OTHER = 0, 1
@@ -181,21 +185,35 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 
 
 def training_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang) of the training sample: texts aren't read for it."""
+    """(doc_id, lang) of the training sample, drawn among texts of usable length."""
     usable = F.coalesce(fold_of(F.col("doc_id"), FOLDS) != HELD_FOLD, F.lit(False)) & F.col("lang").isNotNull()
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].cast("string").alias("lang")).where(usable)
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.length(docs["text"]).alias("chars"))
+    rows = staged(rows.where(usable & F.col("chars").between(1, LONG_CHARS)), "language-ids")
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("chars") <= TRAIN_CHARS).alias("n_short"))
+    sizes = counted.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     each = max(10, min(ROWS_PER_LANGUAGE, TRAIN_ROWS // max(1, len(sizes))))
+    short = _least(rows.where(F.col("chars") <= TRAIN_CHARS), {r["lang"]: r["n_short"] for r in sizes}, each)
+    drawn = _least(rows, {r["lang"]: r["n"] for r in sizes}, each)
+    ids = [(r["doc_id"], lang) for lang in drawn for r in within_budget(short.get(lang, []), drawn[lang], each, TRAIN_CHARS, LONG_CHARS)]
+    return docs.sparkSession.createDataFrame(ids, rows.select("doc_id", "lang").schema)
+
+
+def _least(rows: DataFrame, sizes: dict[str, int], each: int) -> dict[str, list]:
+    """The rows of least hash of each language, in that order."""
     # Four times as many as are taken pass a hash threshold first, so that ranking sees few rows.
-    table = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * each / r["n"])) for r in sizes], "lang string, rate double")
+    table = rows.sparkSession.createDataFrame([(lang, min(1.0, 4.0 * each / max(1, n))) for lang, n in sizes.items()], "lang string, rate double")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     drawn = rows.join(F.broadcast(table), "lang").withColumn("place", place).where(F.col("place") < F.col("rate") * F.lit(float(1 << 30)))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    return drawn.select("doc_id", "lang").distinct().withColumn("place", place).withColumn("nth", nth).where(F.col("nth") <= each).select("doc_id", "lang")
+    found: dict[str, list] = {}
+    once = drawn.groupBy("doc_id", "lang", "place").agg(F.max("chars").alias("chars")).withColumn("nth", nth)
+    for r in sorted(once.where(F.col("nth") <= each).collect(), key=lambda r: (r["lang"], r["nth"])):
+        found.setdefault(r["lang"], []).append(r)
+    return found
 
 
 def train(docs: DataFrame) -> LanguageModel:
-    rows = sampled_texts(docs, training_ids(docs), TRAIN_CHARS).collect()
+    rows = sampled_texts(docs, training_ids(docs), LONG_CHARS).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 

@@ -1,6 +1,6 @@
 """Training samples: long texts are learned from, and what is left out is replaced."""
 
-from echofold.llm import toxicity
+from echofold.llm import language, toxicity
 
 
 def test_toxicity_learns_from_long_texts(spark):
@@ -12,3 +12,11 @@ def test_toxicity_learns_from_long_texts(spark):
     assert len(docs[0][1]) > toxicity.TRAIN_CHARS
     found = {r.doc_id: r.score for r in toxicity.score(table, toxicity.train(table, labels)).collect()}
     assert min(found[i] for i in range(0, 90, 3)) > max(found[i] for i in range(90) if i % 3)
+
+
+def test_languages_learn_from_long_texts(spark):
+    """All texts of one language are over TRAIN_CHARS characters."""
+    docs = [(i, "der schnelle fuchs läuft über die straße " * 600 if i % 3 == 0 else "the quick river runs under a bridge ", "de" if i % 3 == 0 else "en") for i in range(30)]
+    assert len(docs[0][1]) > language.TRAIN_CHARS
+    model = language.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert model.predict(["über die straße läuft der fuchs", "the river runs under"])[0] == ["de", "en"]
