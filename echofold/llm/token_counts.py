@@ -7,7 +7,9 @@ is encoded twice. Counts at every prefix answer truncation and budget questions
 
 The vocabulary file is a tokenizer JSON with byte-level BPE, a word-end suffix and a pre-tokenising
 split. Its normaliser (NFC, white space, lower case) and its special tokens are read from it. Special
-strings inside texts count as one token each, as is the library's default.
+strings inside texts count as one token each, as is the library's default. Which code points are letters,
+numbers and white space is asked of the library once, since its Unicode tables aren't Python's; texts with
+a code point that it lower-cases otherwise are brought into normal form by the library.
 
 Defined results: a null or empty text has no tokens. Rows are independent of each other; repeated
 rows give repeated results, and no other column is read. Long words cost time and memory in
@@ -24,13 +26,65 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from echofold.llm.common import map_batches, normal_text
 
 CACHE_WORDS = 300_000
 CACHE_PAIRS = 400_000
-#: White space of the tokenizer's \s.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The classes that pre-tokenising patterns are made of.
+CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+
+
+def code_points() -> list[str]:
+    """Every character but the surrogates, which UTF-8 has none of."""
+    return [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+
+def ranges(found: set[str]) -> str:
+    """Characters as the inside of a bracket expression."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, found)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@lru_cache(maxsize=1)
+def library_classes() -> tuple[dict[str, str], set[str]]:
+    """For each class a set expression that matches what the library's does; the characters on which they differ."""
+    every, out, odd = "".join(code_points()), {}, set()
+    for name in CLASSES:
+        held = set("".join(piece for piece, _ in Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(every)))
+        here = set(regex.findall(name, every))
+        out[name] = f"[{name}--[{ranges(here - held)}]]" if here - held else name
+        if held - here:
+            out[name] = f"[{out[name]}{ranges(held - here)}]"
+        odd |= here ^ held
+    return out, odd
+
+
+def as_the_library(pattern: str) -> regex.Pattern:
+    """A pre-tokenising pattern with the library's classes."""
+    for name, same in library_classes()[0].items():
+        pattern = pattern.replace(name, same)
+    return regex.compile(pattern, regex.V1)
+
+
+def otherwise_normal(normalizer) -> set[str]:
+    """The characters whose normal form isn't that of Python's tables; white space is of no matter."""
+    every = [c for c in code_points() if not c.isspace() and c != "|"]
+    found = normalizer.normalize_str("|".join(every)).split("|")
+    if len(found) != len(every):
+        return set(every)
+    return {c for c, form in zip(every, found) if form != plain_form(c)}
+
+
+def plain_form(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
 def byte_alphabet() -> list[str]:
@@ -55,10 +109,14 @@ class PrefixCounter:
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.split = regex.compile(split.replace(r"[^\s", f"[^{SPACE}"))
-        self.words = self.split.findall
+        self.split = as_the_library(split)
+        self.plain_split = regex.compile(split)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        odd = library_classes()[1] | otherwise_normal(self.normalizer)
+        self.odd = regex.compile(f"[{ranges(odd)}]").search if odd else lambda text: None
+        self.latin = not any(ord(c) < 0x100 for c in odd)
         stand_in = byte_alphabet()
         self.of_byte = {b: c for b, c in enumerate(stand_in)}
         self.counts: dict[str, int] = {}
@@ -136,10 +194,23 @@ class PrefixCounter:
             self.counts[word] = known
         return known
 
-    def normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def is_odd(self, text: str) -> bool:
+        """Whether the text holds a character on which the library's tables and Python's differ."""
+        if self.latin:
+            try:
+                text.encode("latin-1")
+                return False
+            except UnicodeEncodeError:
+                pass
+        return self.odd(text) is not None
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, brought into normal form."""
+        if text.isascii():
+            return self.plain_split.findall(text.lower())
+        if self.is_odd(text):
+            return self.split.findall(self.normalizer.normalize_str(text))
+        return self.plain_split.findall(plain_form(text))
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """The text between special strings, and those strings (True)."""
@@ -157,7 +228,7 @@ class PrefixCounter:
             if is_special:
                 total += 1
             elif part:
-                words = self.words(self.normal(part))
+                words = self.words(part)
                 known = self.counts
                 try:
                     total += sum([known[w] for w in words])

@@ -227,10 +227,19 @@ def test_token_counts(text):
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_token_counts_of_any_text(text):
-    text = "".join(c for c in text if c not in "\ua7cb\ua7cc\ua7da\ua7dc")  # letters newer than the tokenizer's tables
     assert token_counts.counter(VOCABULARY).count(text) == len(TOKENIZER.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("form", ["%s", "ê%sê", "a 1%s!%s'%st"])
+def test_token_counts_of_every_code_point(form):
+    count, every = token_counts.counter(VOCABULARY).count, token_counts.code_points()
+    assert len(every) == 0x110000 - 0x800
+    for at in range(0, len(every), 100_000):
+        texts = [form.replace("%s", c) for c in every[at : at + 100_000]]
+        found = TOKENIZER.encode_batch(texts, add_special_tokens=False)
+        assert [t for t, e in zip(texts, found) if count(t) != len(e.ids)] == []
+
+
 def test_prefix_counts_equal_encoding_each_prefix():
     count = token_counts.counter(VOCABULARY)
     text = "they're unbelievable, wörld 12 i'd o'clock 'tis"
