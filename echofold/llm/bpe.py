@@ -7,10 +7,12 @@ a pair left. Each piece's ids are decoded by an ordered aggregation over the voc
 kept in a bounded two-generation cache of the Python worker, and their decoded bytes where they differ from
 the piece's own; documents are put together from both.
 
-A piece of over LONG_PIECE bytes contracts in one round every occurrence of the pair of least rank,
-leftmost first and without overlap, where that provably equals one contraction at a time: no
-contraction may make, with a neighbour, a pair of lower rank. Other pairs are contracted singly.
-Rounds run ROUNDS at a time, since a recursive query keeps the rows of all its rounds.
+A piece of over LONG_PIECE bytes is cut into chunks, which the same query encodes, and put together again
+without loss: a sequence of tokens is the encoding of its bytes exactly if each two neighbours are that of
+theirs (the first contraction across a border would occur in the border's two tokens alone as well). So where
+two parts meet, the bytes of a few tokens on both sides are encoded anew; the result holds if its first token
+is the one that stood there, and, going right, from the first token on that was there too. Time is in
+proportion to a piece's length. Rounds run ROUNDS at a time, since a recursive query keeps the rows of all.
 
 Defined results: a null or empty text has no ids; its digests are those of the empty string. Rows
 are independent: repeated rows and ids give repeated results, and other columns are not read.
@@ -20,7 +22,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 import duckdb
@@ -33,6 +36,8 @@ from pyspark.sql import DataFrame
 from echofold.llm.common import map_batches, normal_text
 
 LONG_PIECE = 96
+#: Bytes of a long piece's chunks, least bytes of a window on each side of a border, and of a block whose chunks are kept at once.
+CHUNK, REACH, BLOCK = 32, 12, 1 << 20
 ROUNDS = 24
 #: Pieces encoded by one query, and pieces in a generation of the cache.
 QUERY_BYTES = 200_000
@@ -40,7 +45,7 @@ CACHE_PIECES = 200_000
 #: Characters that the pattern's \s stands for in the encoder this follows.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-SHORT_SQL = """
+CONTRACT_SQL = """
 WITH RECURSIVE state(round, piece, pos, nxt, tok) AS (
     SELECT 0, piece, pos, nxt, tok FROM seed
     UNION ALL
@@ -60,41 +65,6 @@ WITH RECURSIVE state(round, piece, pos, nxt, tok) AS (
 )
 """
 
-#: Occurrences of the least pair of each piece, without overlap: every second one of a run. Only the
-#: first if contracting one makes, with a neighbour, a pair of lower rank.
-HITS = """
-    SELECT piece, pos, gone, after, merged FROM (
-        SELECT *, nth - max(CASE WHEN fresh THEN nth END) OVER (PARTITION BY piece ORDER BY pos) AS depth FROM (
-            SELECT h.*, coalesce(lag(h.gone) OVER (PARTITION BY h.piece ORDER BY h.pos) <> h.pos, TRUE) AS fresh,
-                   row_number() OVER (PARTITION BY h.piece ORDER BY h.pos) AS nth,
-                   bool_or(h.alone AND least(ml.merged, mr.merged, mm.merged) < h.merged) OVER (PARTITION BY h.piece) AS risky
-            FROM (SELECT a.piece, a.pos, b.pos AS gone, b.nxt AS after, m.merged, m.alone,
-                         min(m.merged) OVER (PARTITION BY a.piece) AS lowest
-                  FROM state a
-                  JOIN state b ON b.piece = a.piece AND b.pos = a.nxt
-                  JOIN merges m ON m.l = a.tok AND m.r = b.tok) h
-            LEFT JOIN state x ON x.piece = h.piece AND x.nxt = h.pos
-            LEFT JOIN state y ON y.piece = h.piece AND y.pos = h.after
-            LEFT JOIN merges ml ON ml.l = x.tok AND ml.r = h.merged
-            LEFT JOIN merges mr ON mr.l = h.merged AND mr.r = y.tok
-            LEFT JOIN merges mm ON mm.l = h.merged AND mm.r = h.merged
-            WHERE h.merged = h.lowest))
-    WHERE CASE WHEN risky THEN nth = 1 ELSE depth % 2 = 0 END
-"""
-
-LONG_SQL = """
-WITH RECURSIVE state(round, piece, pos, nxt, tok) AS (
-    SELECT 0, piece, pos, nxt, tok FROM seed
-    UNION ALL
-    SELECT a.round + 1, a.piece, a.pos, coalesce(h.after, a.nxt), coalesce(h.merged, a.tok)
-    FROM state a
-    JOIN (SELECT DISTINCT piece FROM ({hits})) k ON k.piece = a.piece
-    LEFT JOIN ({hits}) h ON h.piece = a.piece AND h.pos = a.pos
-    LEFT JOIN ({hits}) g ON g.piece = a.piece AND g.gone = a.pos
-    WHERE g.gone IS NULL AND a.round < {rounds}
-)
-"""
-
 #: What is left of the rounds: the rows of each piece's last one.
 LAST = """
 SELECT piece, pos, nxt, tok, round = {rounds} AS more
@@ -119,16 +89,15 @@ class PieceEncoder:
         self.ranks = ranks = read_ranks(path)
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]")).findall
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs, alone = [], set()
+        pairs = []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs.append((left, right, rank))
-                    alone.update(part for part in (left, right) if part > rank)
         left, right, merged = (pa.array(column, pa.int32()) for column in zip(*pairs))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
-        merge_rows = pa.table({"l": left, "r": right, "merged": merged, "alone": pa.array([m in alone for m in merged.to_pylist()])})
+        merge_rows = pa.table({"l": left, "r": right, "merged": merged})
         vocab_rows = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())})
         for name, rows in (("merges", merge_rows), ("vocab", vocab_rows)):
             self.db.register("given", rows)
@@ -138,11 +107,14 @@ class PieceEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.otherwise: dict[str, bytes] = {}
+        #: The same of pieces over LONG_PIECE bytes, for one batch of texts.
+        self.long: dict[str, bytes] = {}
+        self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
 
-    def _fixpoint(self, seed: pa.Table, sql: str) -> list[pa.Table]:
+    def _fixpoint(self, seed: pa.Table) -> list[pa.Table]:
         done = []
-        query = sql.format(rounds=ROUNDS, hits=HITS) + LAST.format(rounds=ROUNDS)
+        query = CONTRACT_SQL.format(rounds=ROUNDS) + LAST.format(rounds=ROUNDS)
         while seed.num_rows:
             self.db.register("seed", seed)
             state = self.db.sql(query).to_arrow_table()
@@ -159,9 +131,7 @@ class PieceEncoder:
         piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
         pos = (np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         seed = pa.table({"piece": piece, "pos": pos, "nxt": pos + 1, "tok": self.single[data]})
-        long = pa.array(np.repeat(lengths > LONG_PIECE, lengths))
-        done = self._fixpoint(seed.filter(pc.invert(long)), SHORT_SQL) + self._fixpoint(seed.filter(long), LONG_SQL)
-        self.db.register("done", pa.concat_tables(done))
+        self.db.register("done", pa.concat_tables(self._fixpoint(seed)))
         found = self.db.sql(DECODE_SQL).to_arrow_table()
         self.db.unregister("done")
         count = found.column("n").to_numpy()
@@ -178,10 +148,91 @@ class PieceEncoder:
             at, plain_at = end, plain_end
         return out
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of all of pieces, and maybe of others."""
+    def _batched(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """_query over pieces of about QUERY_BYTES bytes at a time."""
+        start, held = 0, 0
+        for i, p in enumerate(pieces):
+            held += len(p)
+            if held > QUERY_BYTES or i + 1 == len(pieces):
+                yield from self._query(pieces[start : i + 1])
+                start, held = i + 1, 0
+
+    def _know(self, wanted: list[bytes], known: dict[bytes, array]) -> None:
+        fresh = list(dict.fromkeys(w for w in wanted if w not in known))
+        for p, (ids, _) in zip(fresh, self._batched(fresh)):
+            known[p] = array("i", ids)
+
+    def _join(self, left: array, right: array, known: dict[bytes, array]) -> Generator[bytes, None, array]:
+        """The encoding of the bytes of two encodings; yields windows that known lacks, to go on once it has them."""
+        bytes_of, at = self.bytes_of, 0
+        while at < len(right):
+            start = held = len(left)
+            size = 0
+            while start and size < REACH:
+                start -= 1
+                size += len(bytes_of[left[start]])
+            stop, size = at, 0
+            while stop < len(right) and size < REACH:
+                size += len(bytes_of[right[stop]])
+                stop += 1
+            while True:
+                window = b"".join(map(bytes_of.__getitem__, left[start:])) + b"".join(map(bytes_of.__getitem__, right[at:stop]))
+                if window not in known:
+                    yield window
+                found = known[window]
+                if start == 0 or found[0] == left[start]:
+                    break
+                start = max(0, start - 2 * (held - start))
+            del left[start:]
+            left.extend(found)
+            if found[-1] == right[stop - 1]:
+                left.extend(right[stop:])
+                return left
+            at = stop
+        return left
+
+    def _joined(self, parts: list[array], known: dict[bytes, array]) -> array:
+        """The encoding of all parts' bytes: neighbours two by two, all pairs of a level at once."""
+        while len(parts) > 1:
+            working = {i: self._join(parts[i], parts[i + 1], known) for i in range(0, len(parts) - 1, 2)}
+            done = {len(parts) - 1: parts[-1]} if len(parts) % 2 else {}
+            while working:
+                wanted = []
+                for i, join in list(working.items()):
+                    try:
+                        wanted.append(next(join))
+                    except StopIteration as end:
+                        done[i] = end.value
+                        del working[i]
+                self._know(wanted, known)
+            parts = [done[i] for i in sorted(done)]
+        return parts[0]
+
+    def _encode_long(self, piece: bytes) -> array:
+        whole = array("i")
+        for at in range(0, len(piece), BLOCK):
+            chunks = [piece[i : i + CHUNK] for i in range(at, min(at + BLOCK, len(piece)), CHUNK)]
+            known: dict[bytes, array] = {}
+            self._know(chunks, known)
+            block = self._joined([known[c][:] for c in chunks], known)
+            whole = self._joined([whole, block], known) if whole else block
+        return whole
+
+    def decoded(self, ids: array) -> bytes:
+        """The bytes of ids, by ordered aggregations over the vocabulary, of a bounded number of ids each."""
+        out = []
+        for at in range(0, len(ids), QUERY_BYTES):
+            part = np.array(ids[at : at + QUERY_BYTES], np.int32)
+            self.db.register("done", pa.table({"pos": np.arange(len(part), dtype=np.int32), "tok": part}))
+            out += self.db.sql("SELECT list(bytes ORDER BY pos) FROM done JOIN vocab USING (tok)").fetchall()[0][0]
+            self.db.unregister("done")
+        return b"".join(out)
+
+    def learn(self, pieces: set[str]) -> None:
+        """Makes the ids of all of pieces known to ids_of."""
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
+        self.long.clear()
         young, old, fresh = self.young, self.old, []
         for p in pieces:
             if p not in young:
@@ -189,17 +240,24 @@ class PieceEncoder:
                     young[p] = known
                 else:
                     fresh.append(p)
-        start, held = 0, 0
         raw = [p.encode("utf-8", "surrogatepass") for p in fresh]
-        for i, p in enumerate(raw):
-            held += len(p)
-            if held > QUERY_BYTES or i + 1 == len(raw):
-                for p, own, (ids, decoded) in zip(fresh[start : i + 1], raw[start : i + 1], self._query(raw[start : i + 1])):
-                    young[p] = ids
-                    if decoded != own:
-                        self.otherwise[p] = decoded
-                start, held = i + 1, 0
-        return young
+        for p, own in zip(fresh, raw):
+            if len(own) > LONG_PIECE:
+                ids = self._encode_long(own)
+                self.long[p] = ids.tobytes()
+                if (decoded := self.decoded(ids)) != own:
+                    self.otherwise[p] = decoded
+        short = [(p, own) for p, own in zip(fresh, raw) if len(own) <= LONG_PIECE]
+        for (p, own), (ids, decoded) in zip(short, self._batched([own for _, own in short])):
+            young[p] = ids
+            if decoded != own:
+                self.otherwise[p] = decoded
+
+    def ids_of(self, pieces: list[str]) -> bytes:
+        try:
+            return b"".join([self.young[p] for p in pieces])
+        except KeyError:
+            return b"".join([self.long[p] if p in self.long else self.young[p] for p in pieces])
 
 
 @lru_cache(maxsize=2)
@@ -211,9 +269,10 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[tuple[np
     """For each text its ids, the ids as decimal text, and the bytes that they decode to."""
     encoder = _encoder(path, pattern)
     split = [encoder.split(t) for t in texts]
-    known, otherwise, decimal = encoder.learn(set().union(*split)), encoder.otherwise, encoder.decimal
+    encoder.learn(set().union(*split))
+    otherwise, decimal = encoder.otherwise, encoder.decimal
     for pieces in split:
-        ids = np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
+        ids = np.frombuffer(encoder.ids_of(pieces), np.int32)
         if otherwise:
             decoded = b"".join([otherwise.get(p) or p.encode("utf-8", "surrogatepass") for p in pieces])
         else:
@@ -248,8 +307,4 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_
 
 def decode(ids: list[int], path: str, pattern: str) -> bytes:
     """The bytes of ids, by an ordered aggregation over the vocabulary."""
-    encoder = _encoder(path, pattern)
-    encoder.db.register("done", pa.table({"pos": pa.array(range(len(ids)), pa.int32()), "tok": pa.array(ids, pa.int32())}))
-    found = encoder.db.sql("SELECT list(bytes ORDER BY pos) FROM done JOIN vocab USING (tok)").fetchall()[0][0]
-    encoder.db.unregister("done")
-    return b"".join(found or [])
+    return _encoder(path, pattern).decoded(array("i", ids))

@@ -1,5 +1,6 @@
 """Operators on documents, against brute force and on awkward rows."""
 
+import base64
 import hashlib
 import random
 import re
@@ -315,6 +316,31 @@ def test_encoding(text):
     assert bpe.decode(ids.tolist(), RANKS, PATTERN) == text.encode()
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LONG = {
+    "one letter": lambda rnd: "a" * 5_000_000,
+    "random letters": lambda rnd: "".join(rnd.choices(LETTERS, k=2_000_000)),
+    "base64": lambda rnd: base64.b64encode(rnd.randbytes(3_750_000)).decode(),
+    "runs": lambda rnd: "".join(rnd.choice(["a" * rnd.randrange(1, 90), "b", "the"]) for _ in range(5000)),
+    "one character of three bytes": lambda rnd: "漢" * 100_001,
+    "signs": lambda rnd: "=" * 300_007 + "-=" * 90_000,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_pieces(kind):
+    text = LONG[kind](random.Random(8))
+    ids, _, decoded = encoded(text)
+    assert ids.tolist() == ENCODING.encode_ordinary(text) and decoded == text.encode()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab \n'é漢=", min_size=90, max_size=700))
+def test_pieces_put_together_from_chunks(text):
+    ids, _, decoded = encoded(text.replace(" ", "a"))
+    assert ids.tolist() == ENCODING.encode_ordinary(text.replace(" ", "a")) and decoded == text.replace(" ", "a").encode()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80))
 def test_round_trip_of_any_text(text):
