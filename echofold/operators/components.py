@@ -7,10 +7,10 @@ component. Rounds grow with the logarithm of the longest path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from echofold.plans.staging import staged
+from echofold.plans.staging import discard, staged
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h"),
-    ).first()
-    return row["n"], row["h"]
+def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """One round, written out, and a digest of its edges that the writing tasks sum up on their way."""
+    seen = Observation()
+    after = _small_star(_large_star(edges))
+    digest = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
+    found = staged(after.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("h")), "star")
+    return found, (seen.get["n"], seen.get["h"])
 
 
 def _union_find(pairs: list[tuple[int, int]]) -> dict[int, int]:
@@ -74,8 +75,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     now = staged(now, "edges")
     seen = None
     for _ in range(max_rounds):
-        now = staged(_small_star(_large_star(now)), "star")
-        digest = _digest(now)
+        before = now
+        now, digest = _round(before)
+        discard(before)
         if digest == seen:
             break
         seen = digest

@@ -29,13 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _path(spark: SparkSession, path: str):
+    handle = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return handle, handle.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it back; the files go when the application ends."""
+    """Write df to the shared folder and read it back; the files go when the application ends, or by discard.
+
+    df is written in the partitions that it has: fewer files would also mean fewer tasks for what leads to them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    # A file for each few shuffle partitions is enough, and no fewer tasks than cores compute them.
-    df.coalesce(2 * spark.sparkContext.defaultParallelism).write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    handle = jvm.org.apache.hadoop.fs.Path(path)
-    handle.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(handle)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    handle, files = _path(spark, path)
+    files.deleteOnExit(handle)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that staged gave and that nothing reads any more."""
+    path = getattr(df, "staged_path", None)
+    if path is not None:
+        handle, files = _path(df.sparkSession, path)
+        files.delete(handle, True)
