@@ -59,8 +59,8 @@ def test_no_pages_no_rules(spark):
 # 6
 
 
-def brute_neighbours(rows, k=10, every=100):
-    usable = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
+def brute_neighbours(rows, k=10, every=100, dims=8):
+    usable = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and len(v) == dims and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
     for i, q in usable:
         if i % every == 0:
@@ -92,6 +92,54 @@ def test_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 10 * len(truth)
 
 
+def recall(found, truth):
+    got = {(r.query_id, r.vec_id) for r in found}
+    return sum((q, v) in got for q, near in truth.items() for _, v in near) / sum(map(len, truth.values()))
+
+
+def test_recall_on_the_tables(spark, data):
+    table = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    assert recall(neighbours.search(table).collect(), brute_neighbours(rows, dims=64)) >= 0.9
+
+
+@pytest.fixture
+def small_cells(monkeypatch):
+    for name, value in {"SAMPLE_ROWS": 400, "LEAF_SAMPLE": 12, "CELL_ROWS": 24, "SPLIT_ROWS": 72, "BLOCK_ROWS": 500, "CHUNK_QUERIES": 7}.items():
+        monkeypatch.setattr(neighbours, name, value)
+
+
+def test_cells_split_level_by_level(spark, small_cells):
+    rows = vectors(9000, 3, copies=4000)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    truth = brute_neighbours(rows)
+    found = neighbours.search(df).collect()
+    assert {r.query_id for r in found} == set(truth) and len(found) == 10 * len(truth)
+    assert recall(found, truth) >= 0.9
+    exact = {i: np.array(v, np.float64) for i, v in rows}
+    assert all(r.score == np.sqrt(((exact[r.query_id] - exact[r.vec_id]) ** 2).sum()) for r in found)
+
+
+def test_rows_scored_do_not_grow_with_the_table(spark, small_cells):
+    scored = {}
+    for n in (1500, 15_000):
+        df = spark.createDataFrame(vectors(n, 5), "vec_id long, vec array<float>").repartition(4)
+        queries = df.where("vec_id % 100 = 0")
+        searching = neighbours._Search(df, queries, 10, 0.9)
+        while searching.split():
+            pass
+        cells = {r["cell"]: r["count"] for r in searching.placed.groupBy("cell").count().collect()}
+        assert max(cells.values()) <= 72
+        scored[n] = sum(cells.get(r.cell, 0) for r in searching.asking.collect()) / queries.count()
+    assert scored[15_000] < 2 * scored[1500], scored
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(0, [0.0, 1.0])] * 3 + [(7, [0.0, 1.0])] * 15 + [(5, [0.0, 1.0])] + [(i, [0.0, 2.0 + i]) for i in range(20, 40)]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == 0] == [(5, 0.0)] + [(7, 0.0)] * 9
+
+
 def test_awkward_vectors(spark):
     rows = vectors(150, 2) + [(200, None), (300, [0.0] * 8), (400, [1.0] * 7), (500, [math.nan] + [1.0] * 7), (600, [math.inf] * 8), (None, [1.0] * 8), (700, [None] + [1.0] * 7), (100, [5.0] * 8)]
     found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
