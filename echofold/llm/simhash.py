@@ -1,16 +1,17 @@
 """SimHash fingerprints and near-duplicate groups of fingerprints at a small Hamming distance.
 
-A fingerprint is eight positional bytes. Two that differ in at most BITS = 2 bits differ in at most two
-bytes, so they share at least six positional bytes, and of the four byte pairs (0,1) (2,3) (4,5) (6,7)
-at least two whole ones. The inverted index is therefore kept on positional bytes four at a time: six
-lists for each fingerprint, one for each two of the four pairs. (A list for each single byte would
-hold 1/256 of the corpus.) For the pairs of a list the shared positional bytes are tallied, pairs with
-fewer than the guaranteed six go, and the rest are verified by their exact distance.
-
-Lists longer than LIST_MOST are not paired. Their members are linked exactly another way: each gives
-the 65 words at distance 0 or 1 from it, and members that give one word are at distance 2 at most,
-while any two at distance 2 at most give a common word. At most 65 members give one word, so work grows
-with the number of members, however dense they lie. No link is lost and no list is cut.
+A fingerprint is eight positional bytes. Two that differ in at most BITS = 2 bits differ in at most two bytes,
+so they share at least six positional bytes. An inverted index has a list of fingerprints for each position and
+byte. A list of one byte holds 1/256 of the corpus, so a list of over LIST_MOST members isn't paired but refined
+by a further position, and so on, up to six. Of the positions after those of a list only as many are skipped as
+a pair may differ in: as the first six positions that a pair shares skip two at most, the pair is in one list at
+least at every depth. (Depths at which even evenly spread fingerprints would fill the lists are left out.)
+
+For the pairs of a list its positions count as shared. They are tallied for each pair over all its lists, bytes
+at positions that no list of the pair has are compared, pairs of fewer shared bytes than the guaranteed six go,
+and the rest are verified by their exact distance. A list of six positions can't grow beyond the 65,536 values
+of the two bytes left. If it is long, each member looks up the words within reach in the list instead of meeting
+every member, and what hangs together is linked to its least. No link is lost and no list is cut.
 
 Equal fingerprints are one node from the start, so copies are never paired. Groups are the connected
 components of the links, found by star contractions without gathering any of it on the driver.
@@ -22,56 +23,54 @@ component's id unless all ids of the component are null. Repeated rows give repe
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from echofold.llm.common import join_by_key, map_batches, normal_text, unpack_rows, whole_rows
 from echofold.operators.components import connected_components
-from echofold.plans.staging import staged
+from echofold.plans.staging import discard, staged
 
 SHINGLE = 3
 SEED = 42
 BITS = 2
 BYTES = 8
-LEAST_SHARED = BYTES - BITS
 LIST_MOST = 24
-_PAIR_MASKS = [0xFFFF << (16 * i) for i in range(4)]
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-LIST_MASKS = [_signed(a | b) for a, b in combinations(_PAIR_MASKS, 2)]
 BYTE_MASKS = [_signed(0xFF << (8 * i)) for i in range(BYTES)]
-FLIPS = [0] + [_signed(1 << i) for i in range(64)]
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The SimHash of a UTF-8 text, unsigned."""
     words = text.lower().split()
     if not words:
         return 0
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
-    n = len(words) - SHINGLE + 1
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    n = len(words) - shingle + 1
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
     ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tie: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tie: bool = False, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) for each row, fp as a signed long; tie adds a hash of the text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.fromiter(map(fingerprint, batch.column("text").cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
+        found = np.fromiter((fingerprint(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
         columns = {n: batch.column(n) for n in names} | {"fp": pa.array(found.view(np.int64))}
         return pa.RecordBatch.from_pydict(columns)
 
@@ -82,39 +81,112 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return map_batches(given, work, given.select(*names, F.lit(0).cast("long").alias("fp")).schema)
 
 
-def _indexed(nodes: DataFrame) -> DataFrame:
-    """(mask, bits, fp, held): each fingerprint's lists of two members or more, with their lengths."""
-    lists = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(LIST_MASKS)])
-    entries = nodes.select("fp", F.explode(lists).alias("key")).select("key.mask", "key.bits", "fp")
-    lengths = entries.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    return staged(entries.join(lengths, ["mask", "bits"]), "lists")
+def masks(depth: int, bits: int = BITS) -> list[int]:
+    """The sets of depth positions, as bits of an int, that skip no more positions than a pair may differ in."""
+    return [sum(1 << p for p in chosen) for chosen in combinations(range(BYTES), depth) if chosen[-1] + 1 - depth <= bits]
 
 
-def _shared_bytes(difference):
-    return sum(((difference.bitwiseAND(F.lit(m))) == 0).cast("int") for m in BYTE_MASKS)
+def _wide(mask: int) -> int:
+    return _signed(sum(0xFF << (8 * p) for p in range(BYTES) if mask >> p & 1))
 
 
-def links(nodes: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
-    """(a, b): links between different fingerprints that connect all at distance BITS or less."""
-    index = _indexed(nodes)
-    short = index.where(F.col("held") <= list_most)
-    pairs = short.select("mask", "bits", F.col("fp").alias("a")).join(short.select("mask", "bits", F.col("fp").alias("b")), ["mask", "bits"])
-    difference = F.col("a").bitwiseXOR(F.col("b"))
-    near = pairs.where((F.col("a") < F.col("b")) & (_shared_bytes(difference) >= LEAST_SHARED) & (F.bit_count(difference) <= BITS))
-    dense = index.where(F.col("held") > list_most).select("fp").distinct()
-    words = dense.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in FLIPS])).alias("word"))
-    meeting = words.groupBy("word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = meeting.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return near.select("a", "b").unionByName(stars).distinct()
+def _lists(depth: int, bits: int) -> Column:
+    """The lists of a depth: their positions, the same as a mask of bits, and the positions of the list that they refine."""
+    before = lambda mask: mask ^ (1 << (mask.bit_length() - 1))
+    kinds = [F.struct(F.lit(m).alias("mask"), F.lit(_wide(m)).alias("wide"), F.lit(before(m)).alias("before")) for m in masks(depth, bits)]
+    return F.array(*kinds)
+
+
+def _entries(rows: DataFrame, lists: Column) -> DataFrame:
+    """(fp, list): entries of the index; a list is known by its positions and their bytes."""
+    each = rows.select("fp", F.explode(lists).alias("kind"))
+    return each.select("fp", F.struct(F.col("kind.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("kind.wide")).alias("bytes")).alias("list"))
 
 
-def labelled(found: DataFrame, list_most: int = LIST_MOST, near: DataFrame | None = None) -> DataFrame:
+def _paired(short: DataFrame) -> DataFrame:
+    side = lambda name: short.select("list", F.col("fp").alias(name))
+    return side("a").join(side("b"), "list").where("a < b").select("a", "b", F.col("list.mask").alias("mask"))
+
+
+def tallied(pairs: DataFrame, least: int) -> DataFrame:
+    """(a, b): pairs (a, b, mask) that share at least so many positional bytes."""
+    found = pairs.groupBy("a", "b").agg(F.bit_or("mask").alias("seen"))
+    difference = F.col("a").bitwiseXOR(F.col("b"))
+    unseen = [((F.col("seen").bitwiseAND(F.lit(1 << p)) == 0) & (difference.bitwiseAND(F.lit(m)) == 0)).cast("int") for p, m in enumerate(BYTE_MASKS)]
+    shared = reduce(lambda x, y: x + y, unseen, F.bit_count("seen"))
+    return found.where(shared >= least).select("a", "b")
+
+
+def _reach(mask: int, bits: int) -> np.ndarray:
+    """The differences of at most bits bits outside the positions of mask, but for none."""
+    free = [8 * p + i for p in range(BYTES) if not mask >> p & 1 for i in range(8)]
+    return np.array([_signed(sum(1 << b for b in chosen)) for n in range(1, bits + 1) for chosen in combinations(free, n)], np.int64)
+
+
+def _forest(members: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """For each of the sorted members the place of one that it hangs together with; of each group the same, its least."""
+    root = np.arange(len(members))
+    edges = []
+    for difference in reach:
+        other = members ^ difference
+        at = np.minimum(np.searchsorted(members, other), len(members) - 1)
+        here = np.nonzero((members[at] == other) & (members < other))[0]
+        edges.append(np.stack([here, at[here]]))
+    a, b = np.concatenate(edges, axis=1)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _dense(full: DataFrame, bits: int) -> DataFrame:
+    """(a, b): links that connect what lies within reach in lists of all guaranteed positions."""
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        members = np.sort(rows["fp"].to_numpy(np.int64))
+        root = _forest(members, _reach(int(rows["mask"].iloc[0]), bits))
+        tied = root != np.arange(len(members))
+        return pd.DataFrame({"a": members[root[tied]], "b": members[tied]})
+
+    given = full.select(F.col("list.mask").alias("mask"), F.col("list.bytes").alias("bytes"), "fp")
+    return given.groupBy("mask", "bytes").applyInPandas(link, "a long, b long")
+
+
+def links(nodes: DataFrame, list_most: int = LIST_MOST, bits: int = BITS) -> DataFrame:
+    """(a, b): links between different fingerprints that connect all at distance bits or less."""
+    least, held = BYTES - bits, nodes.count()
+    depth = next((d for d in range(1, least) if held <= list_most * 256**d), least)
+    entries, pairs, dense = staged(_entries(nodes, _lists(depth, bits)), "entries"), [], None
+    while True:
+        lengths = staged(entries.groupBy("list").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "lengths")
+        index = staged(join_by_key(entries, lengths, "list", "held", entries.count()), "lists")
+        pairs.append(_paired(index.where(F.col("held") <= list_most)))
+        long = index.where(F.col("held") > list_most)
+        if depth == least:
+            dense = _dense(long, bits)
+        if depth == least or long.isEmpty():
+            break
+        depth += 1
+        next_ = F.filter(_lists(depth, bits), lambda kind: kind["before"] == F.col("list.mask"))
+        discard(entries)
+        entries = staged(_entries(long, next_), "entries")
+    near = tallied(reduce(DataFrame.unionByName, pairs), least)
+    near = near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    return near if dense is None else near.unionByName(dense).distinct()
+
+
+def labelled(found: DataFrame, list_most: int = LIST_MOST, near: DataFrame | None = None, bits: int = BITS) -> DataFrame:
     """found (doc_id, fp, ...) with label, the fingerprint that stands for the row's component.
 
     near gives links (a, b) between values of fp instead of those by distance.
     """
     nodes = staged(found.groupBy("fp").agg(F.count(F.lit(1)).alias("alike"), F.min("doc_id").alias("least_id")), "fingerprints")
-    groups = connected_components(links(nodes, list_most) if near is None else near)
+    groups = connected_components(links(nodes, list_most, bits) if near is None else near)
     members = nodes.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left")
     members = staged(members.select("fp", "alike", "least_id", F.coalesce("component", "fp").alias("label")), "members")
     # A component may hold a third of all fingerprints: its least id is found by a pre-aggregated
@@ -124,16 +196,17 @@ def labelled(found: DataFrame, list_most: int = LIST_MOST, near: DataFrame | Non
     return join_by_key(found, named, "fp", "alike", found.count()).drop("alike")
 
 
-def near_duplicates(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
+def near_duplicates(docs: DataFrame, list_most: int = LIST_MOST, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """For each row: doc_id, fingerprint (16 hex digits), component_id (smallest id of the group)."""
-    found = staged(fingerprints(docs), "simhash")
-    named = labelled(found, list_most)
+    found = staged(fingerprints(docs, shingle=shingle), "simhash")
+    named = labelled(found, list_most, bits=bits)
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
+def one_of_each(docs: DataFrame, list_most: int = LIST_MOST, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """The rows of docs that stand for their group: its smallest id, one row where ids repeat."""
-    return representatives(docs, labelled(staged(fingerprints(docs, tie=True), "simhash"), list_most))
+    found = staged(fingerprints(docs, tie=True, shingle=shingle), "simhash")
+    return representatives(docs, labelled(found, list_most, bits=bits))
 
 
 def representatives(docs: DataFrame, named: DataFrame) -> DataFrame:

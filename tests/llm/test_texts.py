@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -210,6 +211,34 @@ def test_links_lose_nothing(spark, as_rows, list_most):
     assert as_rows(simhash.labelled(df, list_most), "doc_id", "component_id") == brute_components(found)
 
 
+def test_dense_lists_lose_nothing(spark, as_rows):
+    """Most of them share six bytes, so that their lists are long at every depth."""
+    rnd = random.Random(11)
+    base = rnd.getrandbits(64)
+    found = list({base ^ (rnd.getrandbits(16) << rnd.choice([0, 16, 40])) for _ in range(2500)} | {rnd.getrandbits(64) for _ in range(200)})
+    place, parent = {x: i for i, x in enumerate(found)}, list(range(len(found)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    reach = [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
+    for x, i in place.items():
+        for r in reach:
+            if (j := place.get(x ^ r)) is not None and root(i) != root(j):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    df = spark.createDataFrame([(i, simhash._signed(x)) for x, i in place.items()], "doc_id long, fp long")
+    assert as_rows(simhash.labelled(df), "doc_id", "component_id") == [(i, root(i)) for i in range(len(found))]
+
+
+def test_lists_of_positions():
+    for bits in (1, 2, 3):
+        for depth in range(1, 9 - bits):
+            for shared in itertools.combinations(range(8), 8 - bits):
+                assert any(all(m >> p & 1 == 0 or p in shared for p in range(8)) for m in simhash.masks(depth, bits))
+
+
 def test_one_of_each_group_stays(awkward):
     docs = [(r.doc_id, brute_fingerprint(r.text)) for r in awkward.collect()]
     groups = {c for _, c in brute_components(docs)}
