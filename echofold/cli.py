@@ -67,11 +67,11 @@ def git_scope(options: Options, files: list[str]) -> ChangedScope:
 
 def _ungateable(path: str, canonical: str, scanned: set[str]) -> str | None:
     if not os.path.exists(path):
-        return f"--changed path does not exist: {path}"
+        return f"{path}: no such file"
     if os.path.isdir(path):
-        return f"--changed expects a file, got a directory: {path}"
+        return f"{path}: a directory, where --changed takes files"
     if canonical not in scanned:
-        return f"--changed file is outside the scanned paths: {path}"
+        return f"{path}: not among the files scanned"
     return None
 
 
@@ -89,7 +89,7 @@ def listed_scope(options: Options, files: list[str]) -> ChangedScope:
     if problems and options.fail_on_duplicates:
         raise ValueError("\n".join(problems))
     for problem in problems:
-        print(f"warning: {problem} (the gate cannot see it)", file=sys.stderr)
+        print(f"warning: {problem}; no cluster can be new by it", file=sys.stderr)
     return ChangedScope(root, regions)
 
 
@@ -116,7 +116,7 @@ def run(options: Options, spark: SparkSession | None = None) -> int:
         spark.sparkContext.setLogLevel("OFF")
     result = scan(spark, options)
     if options.fail_on_duplicates and not result.files:
-        raise ValueError("No files were scanned; refusing to exit 0 under --fail-on-duplicates")
+        raise ValueError("No files were scanned, so the gate has nothing to pass")
     scope = changed_scope(options, result.files)
     if options.explain_changed:
         print("Changed regions (--explain-changed):", file=sys.stderr)

@@ -6,6 +6,8 @@ import re
 import unicodedata
 from decimal import ROUND_HALF_UP, Decimal
 
+from pyspark import SparkContext
+
 _FLOAT = re.compile(r"\s*([+-]?(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?))")
 _INTEGER = re.compile(r"\s*([+-]?[0-9]+)")
 
@@ -35,10 +37,31 @@ def leading_integer(text: str) -> int | None:
 _PUNCTUATION = "_-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
 
 
+#: Letters that sort as others do, though they have no decomposition.
+_LETTERS = {"æ": "ae", "œ": "oe", "ß": "ss", "ø": "o", "ł": "l", "đ": "d", "ħ": "h", "ŧ": "t", "ƀ": "b", "ɨ": "i", "ĳ": "ij"}
+
+
 def collation_key(name: str) -> tuple:
-    """Orders names as people read them: punctuation, digits, letters; accents and case only break ties."""
+    """Orders names as the engine's UNICODE collation does, by its own keys wherever a Spark context runs."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return (1, *_approximate_key(name))
+    util = context._jvm.org.apache.spark.sql.catalyst.util.CollationFactory
+    text = context._jvm.org.apache.spark.unsafe.types.UTF8String.fromString(name)
+    return 0, bytes(util.getCollationKeyBytes(text, util.collationNameToId("UNICODE"))), name.encode("utf-8", "surrogatepass")
+
+
+def _approximate_key(name: str) -> tuple:
+    """The same without Spark, for plain names: punctuation, digits, letters; accents and case only break ties."""
     base, accents, cases = [], [], []
-    for ch in unicodedata.normalize("NFD", name):
+    for letter in unicodedata.normalize("NFD", name):
+        if plain := _LETTERS.get(letter.lower()):
+            for ch in plain:
+                base.append((3, 0, ch))
+                cases.append((len(base), letter != letter.lower()))
+            accents.append((len(base), ord(letter.lower())))
+            continue
+        ch = letter
         if unicodedata.combining(ch):
             accents.append((len(base), ord(ch)))
         elif ch.isspace():

@@ -36,6 +36,13 @@ def untracked(scanned: DataFrame, indexed: DataFrame) -> DataFrame:
     return missing.select("file", F.lit(1).cast("bigint").alias("start"), F.lit(WHOLE_FILE_END).cast("bigint").alias("end"), F.lit("untracked").alias("source"))
 
 
+def membership(listed: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(file, scanned): for each listed file whether it is among the scanned ones; a null name never is."""
+    here = scanned.select(F.col("file").alias("here")).where("here is not null").distinct()
+    named = listed.select("file").distinct()
+    return named.join(here, named["file"] == here["here"], "left").select("file", F.col("here").isNotNull().alias("scanned"))
+
+
 def gate_fails(status: DataFrame, scoped: bool) -> DataFrame:
     """(fails): whether the gate finds a new cluster, or without a scope any cluster."""
     failing = F.col("status") == "new" if scoped else F.lit(True)

@@ -33,6 +33,11 @@ def within_size_window(a: Column, b: Column, threshold: float) -> Column:
     return F.greatest(a, b) <= F.floor(F.least(a, b) / F.lit(float(threshold)) + F.lit(BOUND_SLACK))
 
 
+def large_enough(entries: DataFrame, min_lines: int = 4, min_nodes: int = 20) -> DataFrame:
+    """The candidates with at least so many lines and nodes."""
+    return entries.where((F.col("nodes") >= min_nodes) & (F.col("end_line") - F.col("start_line") + 1 >= min_lines))
+
+
 def signature(fingerprints: Column) -> Column:
     """128 bits that stand for a set."""
     return F.concat(F.hex(F.xxhash64(fingerprints)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), F.reverse(fingerprints))))

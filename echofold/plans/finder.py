@@ -70,6 +70,6 @@ def find_clusters(spark: SparkSession, options: Options | dict | None = None, **
 def find_clusters_in_table(sources: DataFrame, threshold: float = 0.82, min_lines: int = 4, min_nodes: int = 20, min_locations: int = 2) -> DataFrame:
     """Cluster members of a table of sources (file, text): the same scan for corpora of any size."""
     given = sources.select(F.lit(0).alias("ordinal"), "file", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("path"))
-    # Numbered within each file; over all files by a 64-bit hash, which takes no pass over them.
-    entries = source_entries(given, min_lines, min_nodes).withColumn("entry_id", F.xxhash64("file", "entry_id"))
+    # Numbered within each file: file and number together are the id.
+    entries = source_entries(given, min_lines, min_nodes).withColumn("entry_id", F.struct("file", F.col("entry_id").alias("nth")))
     return cluster_entries(entries, threshold, min_locations)

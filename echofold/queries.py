@@ -6,7 +6,6 @@ TypeScript queries run on the fixtures below, whose expected rows are derived by
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +64,7 @@ places AS (SELECT doc_id, part, unnest(range(0, len(part) - 3)) AS k FROM parts
 words AS (SELECT doc_id, k, {_WORDS.format(text="part[k + 1] || chr(10) || part[k + 2] || chr(10) || part[k + 3] || chr(10) || part[k + 4]")} AS w FROM places),
 runs AS (SELECT doc_id, k, {_RUNS.format(w="w")} AS runs FROM words WHERE len(w) >= 3),
 entries AS (
-    SELECT doc_id * 100000 + k AS entry_id, doc_id::VARCHAR AS file, k + 1 AS start_line, k + 4 AS end_line,
+    SELECT doc_id * 2147483648 + k AS entry_id, doc_id::VARCHAR AS file, k + 1 AS start_line, k + 4 AS end_line,
            len(runs) AS nodes, list_sort(list_distinct(runs)) AS fps FROM runs)"""
 
 _SETS = """
@@ -112,9 +111,8 @@ def doc_fingerprints(spark, sf_dir):
 
 @query("candidate_filter", f"WITH {_DOCUMENT_ENTRIES} SELECT entry_id AS doc_id, nodes, end_line - start_line + 1 AS lines FROM entries WHERE nodes >= 20 AND end_line - start_line + 1 >= 4")
 def candidate_filter(spark, sf_dir):
-    lines = F.col("end_line") - F.col("start_line") + 1
-    kept = _documents(spark, sf_dir).where((F.col("nodes") >= 20) & (lines >= 4))
-    return kept.select(F.col("entry_id").alias("doc_id"), F.col("nodes").cast("bigint").alias("nodes"), lines.cast("bigint").alias("lines"))
+    kept = S.large_enough(_documents(spark, sf_dir), min_lines=4, min_nodes=20)
+    return kept.select(F.col("entry_id").alias("doc_id"), F.col("nodes").cast("bigint").alias("nodes"), (F.col("end_line") - F.col("start_line") + 1).cast("bigint").alias("lines"))
 
 
 @query("fingerprint_frequency", f"WITH {_DOCUMENT_ENTRIES}, f AS (SELECT f, count(*) AS frequency FROM (SELECT unnest(fps) AS f FROM entries) GROUP BY f) SELECT frequency, count(*) AS fingerprints FROM f GROUP BY frequency")
@@ -205,6 +203,21 @@ def cluster_ranking(spark, sf_dir):
     return numbered(_members(spark, sf_dir)).select(F.col("rank").cast("bigint").alias("rank"), "cluster_id", "first_file")
 
 
+# Names that sort otherwise by bytes; the places in this order are derived by hand.
+NAMES = ["_a.ts", "-a.ts", "2.ts", "10.ts", "a.ts", "A.ts", "á.ts", "æ.ts", "b.ts", "B.ts", "ł.ts", "M.ts", "o.ts", "ø.ts", "z.ts", "Ж.ts", "漢.ts"]
+_PLACES = ["_a.ts", "-a.ts", "10.ts", "2.ts", "a.ts", "A.ts", "á.ts", "æ.ts", "b.ts", "B.ts", "ł.ts", "M.ts", "o.ts", "ø.ts", "z.ts", "Ж.ts", "漢.ts"]
+
+
+@query("name_order", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{name}')" for i, name in enumerate(_PLACES, 1)) + ") t(place, file)")
+def name_order(spark, sf_dir):
+    from echofold.operators.clusters import collated
+    from echofold.operators.ranking import ranked
+
+    names = spark.createDataFrame([(n,) for n in sorted(NAMES)], "file string")
+    keys = names.select("file", *[k.alias(f"k{i}") for i, k in enumerate(collated(F.col("file")))])
+    return ranked(keys, [], ["k0", "k1"]).select(F.col("k").cast("int").alias("place"), "file")
+
+
 def _window_clusters(threshold: float) -> Callable:
     return lambda spark, sf_dir: _summary(cluster_entries(_windows(spark, sf_dir), threshold))
 
@@ -252,8 +265,8 @@ def untracked_files(spark, sf_dir):
 
 @query("listed_membership", "SELECT l.doc_id::VARCHAR AS file, d.doc_id IS NOT NULL AS scanned FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l LEFT JOIN documents d ON d.doc_id = l.doc_id")
 def listed_membership(spark, sf_dir):
-    scanned = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit(True).alias("here")).distinct()
-    return _regions(spark, sf_dir).join(scanned, "file", "left").select("file", F.coalesce("here", F.lit(False)).alias("scanned"))
+    scanned = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"))
+    return R.membership(_regions(spark, sf_dir), scanned)
 
 
 # Fixtures: expected rows are derived by hand, not from this engine's output
@@ -301,11 +314,11 @@ def diff_regions(spark, sf_dir):
 
 
 TYPESCRIPT = {
-    "class-left.ts": "export class Left {\n  alpha(xs: number[]): number {\n    return xs.length;\n  }\n}\n",
-    "exact.ts": "function exact(x: number): number {\n  const y = x + 1;\n  return y;\n}\n",
-    "renamed.ts": "function other(value: number): number {\n  const next = value + 20;\n  return next;\n}\n",
-    "tuple-one.ts": "export type TupleOne = [string, number, boolean, Date];\n",
-    "tuple-two.ts": "export type TupleTwo = [string, number, boolean, Foo];\n",
+    "clamp.ts": "function clamp(level: number, top: number): boolean {\n  let rest = top - level;\n  if (rest) {\n    rest++;\n  }\n  return !rest;\n}\n",
+    "gauge.ts": "export class Gauge {\n  peak(levels: string[]): boolean {\n    return levels.length > 9;\n  }\n}\n",
+    "limit.ts": "function limit(size: number, most: number): boolean {\n  let left = most - size;\n  if (left) {\n    left++;\n  }\n  return !left;\n}\n",
+    "route-a.ts": "export type RouteA = Pair<string, boolean> | null;\n",
+    "route-b.ts": "export type RouteB = Table<string, boolean> | null;\n",
 }
 
 
@@ -314,28 +327,139 @@ def typescript_entries(spark: SparkSession, sources: dict[str, str], min_lines:
     return source_entries(spark.createDataFrame(rows, "ordinal bigint, file string, text string, path string"), min_lines, min_nodes)
 
 
-# class Left: ClassDeclaration, modifier and ExportKeyword, MethodDeclaration, Parameter, ArrayType, NumberKeyword,
-# NumberKeyword, Block, ReturnStatement, PropertyAccessExpression = 11 nodes, of which NumberKeyword repeats.
+# clamp: FunctionDeclaration, Parameter and NumberKeyword (twice), BooleanKeyword, Block, VariableStatement,
+# VariableDeclarationList, variable:let, VariableDeclaration, BinaryExpression, operator and MinusToken, IfStatement,
+# Block, ExpressionStatement, PostfixUnaryExpression, its operator, ReturnStatement, PrefixUnaryExpression, its operator
+# = 22 nodes, of which Parameter and NumberKeyword repeat; its variable statement alone is 7.
+# Gauge: ClassDeclaration, modifier and ExportKeyword, MethodDeclaration, Parameter, ArrayType, StringKeyword,
+# BooleanKeyword, Block, ReturnStatement, BinaryExpression, operator, PropertyAccessExpression, GreaterThanToken = 14.
+# RouteA: TypeAliasDeclaration, modifier and ExportKeyword, UnionType, TypeReference, StringKeyword, BooleanKeyword,
+# LiteralType = 8.
 @query("ts_entries", """SELECT * FROM (VALUES
-    ('class-left.ts', 1, 5, 11, 10), ('class-left.ts', 2, 4, 8, 7), ('exact.ts', 1, 4, 13, 12), ('exact.ts', 2, 2, 7, 7),
-    ('renamed.ts', 1, 4, 13, 12), ('renamed.ts', 2, 2, 7, 7), ('tuple-one.ts', 1, 1, 8, 8), ('tuple-two.ts', 1, 1, 8, 8)
+    ('clamp.ts', 1, 7, 22, 20), ('clamp.ts', 2, 2, 7, 7), ('gauge.ts', 1, 5, 14, 14), ('gauge.ts', 2, 4, 11, 11),
+    ('limit.ts', 1, 7, 22, 20), ('limit.ts', 2, 2, 7, 7), ('route-a.ts', 1, 1, 8, 8), ('route-b.ts', 1, 1, 8, 8)
     ) t(file, start_line, end_line, nodes, distinct_fingerprints)""")
 def ts_entries(spark, sf_dir):
-    found = typescript_entries(spark, TYPESCRIPT)
-    return found.select("file", "start_line", "end_line", "nodes", F.size("fingerprints").alias("distinct_fingerprints"))
+    return _shown(typescript_entries(spark, TYPESCRIPT))
+
+
+def _shown(entries: DataFrame) -> DataFrame:
+    return entries.select("file", "start_line", "end_line", "nodes", F.size("fingerprints").alias("distinct_fingerprints"))
 
 
-# VariableStatement, VariableDeclarationList, variable:const, VariableDeclaration, BinaryExpression, operator and
-# PlusToken = 7 nodes; see ts_entries, which counts the statement on line 2.
 @query("ts_clusters", """SELECT * FROM (VALUES
-    (1, 'exact.ts', 1, 4, 13), (1, 'renamed.ts', 1, 4, 13), (2, 'exact.ts', 2, 2, 7), (2, 'renamed.ts', 2, 2, 7),
-    (3, 'tuple-one.ts', 1, 1, 8), (3, 'tuple-two.ts', 1, 1, 8)) t(rank, file, start_line, end_line, nodes)""")
+    (1, 'clamp.ts', 1, 7, 22), (1, 'limit.ts', 1, 7, 22), (2, 'clamp.ts', 2, 2, 7), (2, 'limit.ts', 2, 2, 7),
+    (3, 'route-a.ts', 1, 1, 8), (3, 'route-b.ts', 1, 1, 8)) t(rank, file, start_line, end_line, nodes)""")
 def ts_clusters(spark, sf_dir):
     members = cluster_entries(typescript_entries(spark, TYPESCRIPT), 0.95)
     ranks = numbered(members).select("rank", "cluster_id")
     return members.join(ranks, "cluster_id").select(F.col("rank").cast("int").alias("rank"), "file", "start_line", "end_line", "nodes")
 
 
+MARKED = {
+    "accessor.ts": "class Dial {\n  get level() {\n    return this;\n  }\n  set level(to) {\n  }\n}\n",
+    "decorated.ts": "@seal\n@log()\nabstract class Box {\n}\n",
+    "definite.ts": "class Lamp {\n  watts!: number;\n  volts?: number;\n  amps: number;\n}\n",
+    "heritage.ts": "class Oak extends Tree implements Plant, Thing {\n}\n",
+    "lists.ts": "var a = 1;\nlet b = 2;\nconst c = 3;\n",
+    "optional.ts": "interface Knob {\n  turn?(by?: number): void;\n  readonly size?: string;\n}\n",
+    "ternary.ts": "const pick = (a) => a ? -a : a++;\n",
+}
+
+
+# accessor: ClassDeclaration, GetAccessor, Block, ReturnStatement, ThisKeyword, SetAccessor, Parameter, Block = 8, all different
+# (the empty block isn't the other one); get is 4, set 3.
+# decorated: ClassDeclaration, decorator (twice), modifier:AbstractKeyword, Decorator, Decorator, CallExpression,
+# AbstractKeyword = 8, of which the marker repeats; a decorated declaration begins at its decorators.
+# definite: PropertyDeclaration, definite, ExclamationToken, NumberKeyword = 4; the same with optional, QuestionToken;
+# PropertyDeclaration, NumberKeyword = 2; with ClassDeclaration 11, of which NumberKeyword is there three times.
+# heritage: ClassDeclaration, HeritageClause, heritage:ExtendsKeyword, ExpressionWithTypeArguments, HeritageClause,
+# heritage:ImplementsKeyword, ExpressionWithTypeArguments (twice) = 8, of which that one is there three times.
+# lists: VariableStatement, VariableDeclarationList, variable:..., VariableDeclaration = 4 each.
+# optional: MethodSignature, optional, QuestionToken, Parameter, optional, QuestionToken, NumberKeyword, VoidKeyword = 8;
+# PropertySignature, modifier:ReadonlyKeyword, optional, ReadonlyKeyword, QuestionToken, StringKeyword = 6; with
+# InterfaceDeclaration 15, of which optional and QuestionToken are there three times.
+# ternary: VariableStatement, VariableDeclarationList, variable:const, VariableDeclaration, ArrowFunction, Parameter,
+# EqualsGreaterThanToken, ConditionalExpression, optional, QuestionToken, PrefixUnaryExpression, operator:MinusToken,
+# ColonToken, PostfixUnaryExpression, operator:PlusPlusToken = 15; the arrow function is 11 of them.
+@query("ts_markers", """SELECT * FROM (VALUES
+    ('accessor.ts', 1, 7, 8, 8), ('accessor.ts', 2, 4, 4, 4), ('accessor.ts', 5, 6, 3, 3),
+    ('decorated.ts', 1, 4, 8, 7),
+    ('definite.ts', 1, 5, 11, 9), ('definite.ts', 2, 2, 4, 4), ('definite.ts', 3, 3, 4, 4), ('definite.ts', 4, 4, 2, 2),
+    ('heritage.ts', 1, 2, 8, 6),
+    ('lists.ts', 1, 1, 4, 4), ('lists.ts', 2, 2, 4, 4), ('lists.ts', 3, 3, 4, 4),
+    ('optional.ts', 1, 4, 15, 11), ('optional.ts', 2, 2, 8, 6), ('optional.ts', 3, 3, 6, 6),
+    ('ternary.ts', 1, 1, 15, 15), ('ternary.ts', 1, 1, 11, 11)
+    ) t(file, start_line, end_line, nodes, distinct_fingerprints)""")
+def ts_markers(spark, sf_dir):
+    return _shown(typescript_entries(spark, MARKED))
+
+
+KINDS = {
+    "kinds.ts": """class Shelf {
+  size: number;
+  constructor() {
+  }
+  fill() {
+  }
+}
+interface Shape {
+  side: number;
+  grow(): void;
+  (by: number): void;
+  new (of: string): Shape;
+  [name: string]: number;
+}
+type Both = Shape & Shelf;
+enum Tone {
+  Low,
+  High = 5,
+}
+namespace Tools {
+}
+function run() {
+}
+const walk = function () {
+};
+"""
+}
+
+
+# Every candidate kind that the other fixtures lack, one to a line: class and enum bodies, members of types, functions.
+@query("ts_candidate_kinds", """SELECT * FROM (VALUES
+    ('kinds.ts', 1, 7, 7, 6), ('kinds.ts', 2, 2, 2, 2), ('kinds.ts', 3, 4, 2, 2), ('kinds.ts', 5, 6, 2, 2),
+    ('kinds.ts', 8, 14, 17, 12), ('kinds.ts', 9, 9, 2, 2), ('kinds.ts', 10, 10, 2, 2), ('kinds.ts', 11, 11, 4, 4),
+    ('kinds.ts', 12, 12, 4, 4), ('kinds.ts', 13, 13, 4, 4),
+    ('kinds.ts', 15, 15, 4, 3),
+    ('kinds.ts', 16, 19, 3, 2), ('kinds.ts', 17, 17, 1, 1), ('kinds.ts', 18, 18, 1, 1),
+    ('kinds.ts', 20, 21, 2, 2), ('kinds.ts', 22, 23, 2, 2), ('kinds.ts', 24, 25, 6, 6), ('kinds.ts', 24, 25, 2, 2)
+    ) t(file, start_line, end_line, nodes, distinct_fingerprints)""")
+def ts_candidate_kinds(spark, sf_dir):
+    return _shown(typescript_entries(spark, KINDS))
+
+
+FLAVOURS = {
+    "cart.js": "export function spend(rows) {\n  const open = rows.filter((row) => !row.paid);\n  return open.map((row) => row.cost - 1).join();\n}\n",
+    "cost.jsx": "export function owed(items) {\n  const due = items.filter((item) => !item.done);\n  return due.map((item) => item.price - 2).join();\n}\n",
+    "page.tsx": "export const page = (text: string) => (\n  <p class=\"x\">\n    {text}<br/>\n  </p>\n);\n",
+    "pane.jsx": "export const pane = (node) => (\n  <b id=\"k\">\n    {node}<wbr/>\n  </b>\n);\n",
+    "view.jsx": "export const view = (body) => (\n  <i lang=\"en\">\n    {body}<hr/>\n  </i>\n);\n",
+    "bare.mts": "interface Seat {\n  row: number;\n  free?: boolean;\n}\n",
+    "chair.cts": "interface Stool {\n  legs: number;\n  soft?: boolean;\n}\n",
+    "few.ts": "enum Few {\n  One = 1,\n  Two = 2,\n  Many,\n}\n",
+    "lot.ts": "enum Lot {\n  A = 10,\n  B = 20,\n  C,\n}\n",
+}
+
+
+# JavaScript, JSX, TSX and modules together; a type annotation is structure, so page.tsx stays apart at this threshold.
+@query("ts_flavours", """SELECT * FROM (VALUES
+    ('bare.mts', 1, 4), ('chair.cts', 1, 4), ('cart.js', 1, 4), ('cost.jsx', 1, 4), ('few.ts', 1, 5), ('lot.ts', 1, 5),
+    ('pane.jsx', 1, 5), ('view.jsx', 1, 5)
+    ) t(file, start_line, end_line)""")
+def ts_flavours(spark, sf_dir):
+    return cluster_entries(typescript_entries(spark, FLAVOURS, 3, 3), 1.0).select("file", "start_line", "end_line")
+
+
 # A statement and its arrow function share their lines: two entries, one location, nodes of the larger, which are
 # VariableStatement, VariableDeclarationList, variable:const, VariableDeclaration, ArrowFunction,
 # EqualsGreaterThanToken, Block, ReturnStatement, ThisKeyword.
@@ -347,8 +471,8 @@ def ts_overlap(spark, sf_dir):
 
 
 _FIXED = [
-    report.cluster_of(0.875, 0.925, [report.Location(f, 10, 14, 50) for f in ("c.ts", "a.ts", "b.ts")]),
-    report.cluster_of(1.0, 1.0, [report.Location(f, 1, 5, 20) for f in ('q"x.ts', "z.ts")], "new"),
+    report.cluster_of(0.6875, 0.8125, [report.Location(f, 31, 38, 77) for f in ("Wren.ts", "owl.ts", "æon.ts")]),
+    report.cluster_of(1.0, 1.0, [report.Location(f, 2, 9, 33) for f in ('q"x.ts', "z\\y.ts")], "new"),
 ]
 
 
@@ -357,32 +481,82 @@ def _rendered(render: Callable[[list], str]):
 
 
 _TEXT = """CLUSTER 1 score=1.00 locations=2 status=new (intersects your change)
-  q"x.ts:1-5 nodes=20
-  z.ts:1-5 nodes=20
+  q"x.ts:2-9 nodes=33
+  z\\y.ts:2-9 nodes=33
 
-CLUSTER 2 score=0.88-0.93 locations=3 status=unscoped
-  a.ts:10-14 nodes=50
-  b.ts:10-14 nodes=50
-  c.ts:10-14 nodes=50"""
+CLUSTER 2 score=0.69-0.81 locations=3 status=unscoped
+  æon.ts:31-38 nodes=77
+  owl.ts:31-38 nodes=77
+  Wren.ts:31-38 nodes=77"""
 _EDN = r"""{:clusters
  [{:score-min 1
    :score-max 1
    :status :new
    :location-count 2
-   :locations [{:file "q\"x.ts", :start-line 1, :end-line 5, :nodes 20}
-               {:file "z.ts", :start-line 1, :end-line 5, :nodes 20}]}
-  {:score-min 0.875
-   :score-max 0.925
+   :locations [{:file "q\"x.ts", :start-line 2, :end-line 9, :nodes 33}
+               {:file "z\\y.ts", :start-line 2, :end-line 9, :nodes 33}]}
+  {:score-min 0.6875
+   :score-max 0.8125
    :status :unscoped
    :location-count 3
-   :locations [{:file "a.ts", :start-line 10, :end-line 14, :nodes 50}
-               {:file "b.ts", :start-line 10, :end-line 14, :nodes 50}
-               {:file "c.ts", :start-line 10, :end-line 14, :nodes 50}]}]}"""
-_JSON = (
-    '{"clusters":[{"score":{"min":1,"max":1},"status":"new","locationCount":2,"locations":[{"file":"q\\"x.ts","startLine":1,"endLine":5,"nodes":20},'
-    '{"file":"z.ts","startLine":1,"endLine":5,"nodes":20}]},{"score":{"min":0.875,"max":0.925},"status":"unscoped","locationCount":3,"locations":['
-    '{"file":"a.ts","startLine":10,"endLine":14,"nodes":50},{"file":"b.ts","startLine":10,"endLine":14,"nodes":50},{"file":"c.ts","startLine":10,"endLine":14,"nodes":50}]}]}'
-)
+   :locations [{:file "æon.ts", :start-line 31, :end-line 38, :nodes 77}
+               {:file "owl.ts", :start-line 31, :end-line 38, :nodes 77}
+               {:file "Wren.ts", :start-line 31, :end-line 38, :nodes 77}]}]}"""
+_JSON = r"""{
+  "clusters": [
+    {
+      "score": {
+        "min": 1,
+        "max": 1
+      },
+      "status": "new",
+      "locationCount": 2,
+      "locations": [
+        {
+          "file": "q\"x.ts",
+          "startLine": 2,
+          "endLine": 9,
+          "nodes": 33
+        },
+        {
+          "file": "z\\y.ts",
+          "startLine": 2,
+          "endLine": 9,
+          "nodes": 33
+        }
+      ]
+    },
+    {
+      "score": {
+        "min": 0.6875,
+        "max": 0.8125
+      },
+      "status": "unscoped",
+      "locationCount": 3,
+      "locations": [
+        {
+          "file": "æon.ts",
+          "startLine": 31,
+          "endLine": 38,
+          "nodes": 77
+        },
+        {
+          "file": "owl.ts",
+          "startLine": 31,
+          "endLine": 38,
+          "nodes": 77
+        },
+        {
+          "file": "Wren.ts",
+          "startLine": 31,
+          "endLine": 38,
+          "nodes": 77
+        }
+      ]
+    }
+  ]
+}
+"""
 
 
 def _quoted(text: str) -> str:
@@ -391,8 +565,7 @@ def _quoted(text: str) -> str:
 
 query("report_text", _quoted(_TEXT))(_rendered(report.to_text))
 query("report_edn", _quoted(_EDN))(_rendered(report.to_edn))
-# Layout is a matter of tests; here the document's content, without its spaces.
-query("report_json", _quoted(_JSON))(_rendered(lambda found: json.dumps(json.loads(report.to_json(found)), separators=(",", ":"))))
+query("report_json", _quoted(_JSON))(_rendered(report.to_json))
 
 
 @query("clusters", _cluster_sql(_DOCUMENT_ENTRIES, THRESHOLD, """, listed AS (

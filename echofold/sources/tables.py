@@ -57,13 +57,19 @@ def document_entries(documents: DataFrame, size: int = 3) -> DataFrame:
 
 
 def window_entries(documents: DataFrame, lines: int = 4, size: int = 3) -> DataFrame:
-    """One entry for each run of lines in a document: its word shingles."""
-    cut = spread(documents.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"), F.split("text", "\n").alias("all"))
-    tokens = words(F.array_join(F.slice("all", F.col("at") + 1, lines), "\n"))
-    windows = cut.where(F.col("at") + lines <= F.size("all")).select("doc_id", "at", once(tokens).alias("words"))
+    """One entry for each run of lines in a document: its word shingles.
+
+    An id is the document's times 2^31, more than an array can have lines, plus the place; ids from 2^32 on raise.
+    """
+    cut = spread(documents.select("doc_id", "text")).select("doc_id", once(F.split("text", "\n")).alias("all")).where(F.size("all") >= lines)
+    # The text of each window is built from shifted copies of the array, so a row carries its own lines only.
+    joined = F.col("all")
+    for shift in range(1, lines):
+        joined = F.zip_with(joined, F.slice("all", shift + 1, F.size("all")), lambda a, b: F.concat(a, F.lit("\n"), b))
+    windows = cut.select("doc_id", F.posexplode(F.slice(joined, F.lit(1), F.size("all") - lines + 1)).alias("at", "lines")).select("doc_id", "at", once(words(F.col("lines"))).alias("words"))
     runs = windows.select("doc_id", "at", once(shingles(F.col("words"), size)).alias("runs")).where("size(runs) > 0")
     return runs.select(
-        (F.col("doc_id") * 100_000 + F.col("at")).alias("entry_id"),
+        (F.col("doc_id") * F.lit(1 << 31) + F.col("at")).alias("entry_id"),
         F.col("doc_id").cast("string").alias("file"),
         (F.col("at") + 1).alias("start_line"),
         (F.col("at") + lines).alias("end_line"),

@@ -6,7 +6,7 @@ from echofold.functions.structure import post_order, subtree_hash
 from echofold.sources.script import ParseError, parse
 from echofold.sources.typescript import ScanError, scan_file, scan_text
 
-EXACT = "function exact(x: number): number {\n  const y = x + 1;\n  return y;\n}\n"
+CLAMP = "function clamp(level: number, top: number): boolean {\n  let rest = top - level;\n  if (rest) {\n    rest++;\n  }\n  return !rest;\n}\n"
 
 
 def shape(text, jsx=False):
@@ -14,10 +14,10 @@ def shape(text, jsx=False):
 
 
 def test_hand_counts():
-    (whole,) = [e for e in scan_text("e.ts", EXACT, 4, 1)]
-    assert (whole[0], whole[1], whole[2], len(whole[3])) == (1, 4, 13, 12)
-    assert scan_text("e.ts", EXACT, 5, 1) == []
-    (alias,) = scan_text("t.ts", "export type TupleOne = [string, number, boolean, Date];\n", 1, 1)
+    (whole,) = [e for e in scan_text("c.ts", CLAMP, 7, 1)]
+    assert (whole[0], whole[1], whole[2], len(whole[3])) == (1, 7, 22, 20)
+    assert scan_text("c.ts", CLAMP, 8, 1) == []
+    (alias,) = scan_text("r.ts", "export type RouteA = Pair<string, boolean> | null;\n", 1, 1)
     assert alias[2] == 8
 
 
@@ -59,7 +59,7 @@ def test_jsx():
     )
 
 
-@pytest.mark.parametrize("source", ["const = (((((\n", "let 123 = ;\n", "a b", "x = {", "`abc", "'ab\n'", "type X = ;", "foo(a,, b)", "class { x y }", "<T"])
+@pytest.mark.parametrize("source", ["let = [[[[\n", "let 123 = ;\n", "a b", "x = {", "`abc", "'ab\n'", "type X = ;", "foo(a,, b)", "class { x y }", "<T"])
 def test_errors_are_raised(source):
     with pytest.raises(ParseError):
         parse(source, False)
@@ -67,28 +67,29 @@ def test_errors_are_raised(source):
 
 def test_scan_errors_name_the_file(tmp_path):
     with pytest.raises(ScanError, match="Unable to parse broken.ts"):
-        scan_text("broken.ts", "const = (((((\n", 1, 1)
+        scan_text("broken.ts", "let = [[[[\n", 1, 1)
     with pytest.raises(FileNotFoundError):
         scan_file(str(tmp_path / "missing.ts"), 1, 1)
 
 
 def test_hashes_are_ordered_and_53_bits():
-    a, b = subtree_hash("LeafA", []), subtree_hash("LeafB", [])
-    assert subtree_hash("Parent", [a, b]) != subtree_hash("Parent", [b, a])
-    assert subtree_hash("Parent", [a, b]) == subtree_hash("Parent", [a, b])
+    a, b = subtree_hash("Block", []), subtree_hash("Parameter", [])
+    assert subtree_hash("ArrowFunction", [a, b]) != subtree_hash("ArrowFunction", [b, a])
+    assert subtree_hash("ArrowFunction", [a, b]) == subtree_hash("ArrowFunction", [a, b])
     assert 0 <= a < 2**53 and a != b
 
 
 def test_names_and_literals_do_not_count():
-    renamed = EXACT.replace("exact", "other").replace("x", "value").replace("1", "20")
-    assert scan_text("a.ts", EXACT, 1, 1) == scan_text("b.ts", renamed, 1, 1)
+    renamed = CLAMP.replace("clamp", "limit").replace("level", "size").replace("rest", "left")
+    assert scan_text("a.ts", CLAMP, 1, 1) == scan_text("b.ts", renamed, 1, 1)
+    assert scan_text("a.ts", "x = 1;\nvar y = 'a';\n", 1, 1) == scan_text("a.ts", "z = 22;\nvar y = `b`;\n", 1, 1)
 
 
 def test_deep_nesting():
-    inner = "seed"
+    inner = "leaf"
     for _ in range(1500):
-        inner = f"(seed + {inner})"
-    hashes, found = post_order(parse(f"function f(seed) {{ return {inner}; }}", True))
+        inner = f"(leaf + {inner})"
+    hashes, found = post_order(parse(f"function f(leaf) {{ return {inner}; }}", True))
     assert len(found) == 1 and len(hashes) == 4 * 1500 + 4
 
 
@@ -101,5 +102,5 @@ def test_public_names():
     import echofold
 
     assert all(getattr(echofold, name) is not None for name in echofold.__all__)
-    (function,) = parse(EXACT, False).kids
-    assert echofold.node_count(function) == 13 and len(echofold.fingerprints(function)) == 12
+    (function,) = parse(CLAMP, False).kids
+    assert echofold.node_count(function) == 22 and len(echofold.fingerprints(function)) == 20
