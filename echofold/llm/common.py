@@ -165,22 +165,11 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, weight: str, total:
     return of_hot.unionByName(of_cold)
 
 
-def sampled_texts(docs: DataFrame, ids: DataFrame, max_chars: int) -> DataFrame:
-    """ids (doc_id and other columns, a bounded number of rows) with the text of each id.
+def sampled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (doc_id and other columns, a bounded number of rows) with the whole text of each id.
 
-    Texts that are null, empty or longer than max_chars take no part; of rows with equal ids the least
-    text counts. ids is small by its parameters, so it is broadcast and texts are not shuffled.
+    Texts that are null or empty take no part; of rows with equal ids the least text counts. ids is small by its
+    parameters, so it is broadcast and only the texts sampled are shuffled.
     """
-    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where(F.length("text").between(1, max_chars))
+    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where(F.length("text") > 0)
     return texts.join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min("text").alias("text"))
-
-
-def within_budget(short: list, drawn: list, most: int, short_chars: int, long_chars: int) -> list:
-    """Up to most training rows (each with chars): the longer ones of drawn that fit into long_chars in all, in
-    their order, and rows of short in the other places, so that a row left out is replaced."""
-    taken, held = [], 0
-    for row in drawn:
-        if row["chars"] > short_chars and held + row["chars"] <= long_chars:
-            taken.append(row)
-            held += row["chars"]
-    return taken + short[: most - len(taken)]

@@ -7,16 +7,18 @@ texts into vectors, and one-versus-rest kernel ridge regression is solved on the
 only n-grams that occur in some landmark, presence vectors are kept over those, and a batch of texts is
 scored by one matrix product with the landmarks' n-grams already multiplied into the coefficients.
 
-Texts are lower-cased; characters that aren't letters become one space each run, letters outside the
-ALPHABET most frequent of the sample become one symbol.
+Texts are lower-cased; characters that aren't letters become one space each run. An n-gram of any letters of
+any script is known by a hash of GRAM_BITS bits; the few that share one count as one.
 
-Training takes rows with a language outside the held-out fold: at most ROWS_PER_LANGUAGE each and
-TRAIN_ROWS in all, of 1 to TRAIN_CHARS characters, with the least hashes of their ids, for the
-MOST_LANGUAGES most frequent languages. Longer texts are taken whole while they fit into LONG_CHARS for each
-language; shorter ones take the places of the rest. Every row is predicted from its whole text.
+Training takes rows with a language outside the held-out fold that have a text: for each language those with
+the least hashes of their ids, at most ROWS_PER_LANGUAGE each and, but for LEAST_ROWS of each language,
+TRAIN_ROWS in all. Of more than MOST_LANGUAGES languages the most frequent ones are learned. Texts become sets
+of n-grams and kernel values where they lie; the driver gets the landmarks' n-grams and, of each row, its
+kernel with the landmarks. Training and prediction read whole texts.
 
 Defined results: a null text, or one without letters, is "und" with score 0; so is every text if there
-is nothing to learn from. Rows with null ids are predicted and count as not held out.
+is nothing to learn from. Of rows that share an id and a language the least text is learned from. Rows with
+null ids are predicted and count as not held out.
 """
 
 from __future__ import annotations
@@ -31,62 +33,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echofold.llm.common import fold_of, held_out, map_batches, sampled_texts, within_budget
+from echofold.llm.common import fold_of, held_out, map_batches, sampled_texts
 from echofold.plans.staging import staged
 
 FOLDS, HELD_FOLD = 3, 1
 ORDER = 3
-ALPHABET = 94
-SYMBOLS = ALPHABET + 2
+GRAM_BITS = 20
 LANDMARKS = 320
-ROWS_PER_LANGUAGE, TRAIN_ROWS, MOST_LANGUAGES = 400, 6000, 300
-TRAIN_CHARS = 20_000
-#: Characters of longer texts that a language takes in all.
-LONG_CHARS = 200_000
+ROWS_PER_LANGUAGE, LEAST_ROWS, TRAIN_ROWS, MOST_LANGUAGES = 400, 10, 6000, 2000
 RIDGE = 1e-4
 UNKNOWN = "und"
-SPACE, OTHER = 0, 1
+#: Odd multipliers of the n-gram hashes, and what tells lengths apart.
+NEXT, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+OF_LENGTH = [np.uint64(n * 0xC2B2AE3D27D4EB4F % (1 << 64)) for n in range(ORDER + 1)]
 
 has_letter = regex.compile(r"\p{L}").search
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
-
-
-@lru_cache(maxsize=4)
-def symbol_table(alphabet: str) -> np.ndarray:
-    """The symbol of each code point."""
-    table = np.where(_letters(), OTHER, SPACE).astype(np.int32)
-    for i, ch in enumerate(alphabet):
-        table[ord(ch)] = i + 2
-    return table
+    """Each code point if it is a letter, else 0."""
+    return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint64)
 
 
 class Grams:
-    """The n-gram ids of texts over an alphabet, and the number of distinct ones."""
+    """The n-gram ids of texts, and the number of distinct ones."""
 
-    def __init__(self, alphabet: str):
-        self.table = symbol_table(alphabet)
-        self.base = [sum(SYMBOLS**m for m in range(1, n)) for n in range(1, ORDER + 1)]
-        self.size = sum(SYMBOLS**n for n in range(1, ORDER + 1))
+    size = 1 << GRAM_BITS
+
+    def __init__(self):
         self.seen = np.zeros(self.size, np.int32)
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of all n-grams, repeats included."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = self.table[points]
-        blank = code == SPACE
+        code = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        blank = code == 0
         code = code[~(blank & np.concatenate(([False], blank[:-1])))]
         parts, gram = [], code
         for n in range(1, ORDER + 1):
             if n > 1:
-                gram = gram[:-1] * SYMBOLS + code[n - 1 :]
+                gram = gram[:-1] * NEXT + code[n - 1 :]
             if len(gram) == 0:
                 break
-            parts.append(gram + self.base[n - 1])
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            parts.append(((gram + OF_LENGTH[n]) * MIX >> np.uint64(64 - GRAM_BITS)).astype(np.int32))
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
     def distinct(self, ids: np.ndarray) -> int:
         """Each id keeps its last place; as many places are kept as there are distinct ids."""
@@ -94,11 +84,45 @@ class Grams:
         self.seen[ids] = places
         return int((self.seen[ids] == places).sum())
 
+    def set_of(self, text: str | None) -> np.ndarray:
+        """The sorted distinct ids of a text with letters, else none."""
+        return np.unique(self.ids(text)) if text and has_letter(text) else np.zeros(0, np.int32)
+
+
+@dataclass
+class Landmarks:
+    """The distinct n-grams of each landmark."""
+
+    sets: list[np.ndarray]
+
+    def __post_init__(self):
+        self.used = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.int32)
+        self.own = np.sqrt([max(1, len(s)) for s in self.sets])
+        self.table = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
+    def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
+        """The kernel of other sets (rows) with the landmarks (columns): one matrix product."""
+        if self.table is None:
+            column = np.full(Grams.size, len(self.used), np.int32)
+            column[self.used] = np.arange(len(self.used), dtype=np.int32)
+            marks = np.zeros((len(self.used) + 1, len(self.sets)), np.float32)
+            for k, s in enumerate(self.sets):
+                marks[column[s], k] = 1.0
+            self.table = column, marks
+        column, marks = self.table
+        present = np.zeros((len(sets), len(self.used) + 1), np.float32)
+        for k, s in enumerate(sets):
+            present[k, column[s]] = 1.0
+        present[:, -1] = 0.0
+        return (present @ marks).astype(np.float64) / np.sqrt([max(1, len(s)) for s in sets])[:, None] / self.own[None, :]
+
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    alphabet: str
     grams: np.ndarray  # the ids of the n-grams that occur in landmarks
     weights: np.ndarray  # (n-grams, languages): landmarks' presence times Nyström coefficients
     bias: np.ndarray
@@ -109,27 +133,27 @@ class LanguageModel:
     def __getstate__(self):
         return self.__dict__ | {"tools": None}
 
-    def _prepare(self):
-        grams = Grams(self.alphabet)
-        column = np.full(grams.size, len(self.grams), np.int32)
-        column[self.grams] = np.arange(len(self.grams), dtype=np.int32)
-        self.tools = grams, column
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """The ridge regressions of texts with letters: one matrix product."""
+        if self.tools is None:
+            column = np.full(Grams.size, len(self.grams), np.int32)
+            column[self.grams] = np.arange(len(self.grams), dtype=np.int32)
+            self.tools = Grams(), column
+        grams, column = self.tools
+        present = np.zeros((len(texts), len(self.grams) + 1), np.float32)
+        own = np.ones(len(texts), np.float32)
+        for k, text in enumerate(texts):
+            ids = grams.ids(text)
+            own[k] = max(1, grams.distinct(ids))
+            present[k, column[ids]] = 1.0
+        return present[:, :-1] @ self.weights / np.sqrt(own)[:, None] + self.bias
 
     def predict(self, texts: list[str | None], batch: int = 128) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         known = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
-        if known and self.tools is None:
-            self._prepare()
         for at in range(0, len(known), batch):
             rows = known[at : at + batch]
-            grams, column = self.tools
-            present = np.zeros((len(rows), len(self.grams) + 1), np.float32)
-            own = np.ones(len(rows), np.float32)
-            for k, i in enumerate(rows):
-                ids = grams.ids(texts[i])
-                own[k] = max(1, grams.distinct(ids))
-                present[k, column[ids]] = 1.0
-            margins = present[:, :-1] @ self.weights / np.sqrt(own)[:, None] + self.bias
+            margins = self.margins([texts[i] for i in rows])
             best = margins.argmax(axis=1)
             for k, i in enumerate(rows):
                 names[i] = self.languages[best[k]]
@@ -137,85 +161,67 @@ class LanguageModel:
         return names, scores
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Nyström kernel ridge regression on a sample; landmarks are dealt to the languages in turn."""
-    usable = [i for i, t in enumerate(texts) if has_letter(t)]
-    texts, langs = [texts[i] for i in usable], [langs[i] for i in usable]
+def solve(landmarks: Landmarks, among: np.ndarray, kernel: np.ndarray, langs: list[str], ridge: float = RIDGE) -> LanguageModel:
+    """Nyström kernel ridge regression; among is the landmarks' own kernel matrix, kernel that of the rows with them."""
     languages = sorted(set(langs))
-    if not languages:
-        return LanguageModel([], "", np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0))
-    counts: dict[str, int] = {}
-    for t in texts:
-        for ch in set(t.lower()):
-            if ch.isalpha():
-                counts[ch] = counts.get(ch, 0) + 1
-    alphabet = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:ALPHABET]))
-    grams = Grams(alphabet)
-    sets = [np.unique(grams.ids(t)) for t in texts]
-    turn: dict[str, int] = {}
-    order = []
-    for i, lang in enumerate(langs):
-        turn[lang] = turn.get(lang, 0) + 1
-        order.append((turn[lang], lang, i))
-    chosen = [i for _, _, i in sorted(order)[:landmarks]]
-    used = np.unique(np.concatenate([sets[i] for i in chosen]))
-    column = np.full(grams.size, len(used), np.int32)
-    column[used] = np.arange(len(used), dtype=np.int32)
-    marks = np.zeros((len(chosen), len(used) + 1), np.float32)
-    for k, i in enumerate(chosen):
-        marks[k, column[sets[i]]] = 1.0
-    marks = marks[:, :-1]
-    marks /= np.sqrt(np.maximum(1, [len(sets[i]) for i in chosen]))[:, None].astype(np.float32)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    values, vectors = np.linalg.eigh(among)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    kernel = np.zeros((len(texts), len(chosen)))
-    for at in range(0, len(texts), 128):
-        block = np.zeros((len(texts[at : at + 128]), len(used) + 1), np.float32)
-        for k, s in enumerate(sets[at : at + 128]):
-            block[k, column[s]] = 1.0
-        kernel[at : at + 128] = block[:, :-1] @ marks.T / np.sqrt([max(1, len(s)) for s in sets[at : at + 128]])[:, None]
-    phi = np.hstack([kernel @ root, np.ones((len(texts), 1))])
+    phi = np.hstack([kernel @ root, np.ones((len(langs), 1))])
     target = np.where(np.array(langs)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    penalty = ridge * len(texts) * np.eye(phi.shape[1])
+    penalty = ridge * len(langs) * np.eye(phi.shape[1])
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve(phi.T @ phi + penalty, phi.T @ target)
-    weights = (marks.T @ (root @ beta[:-1]).astype(np.float32)).astype(np.float32)
-    return LanguageModel(languages, alphabet, used, weights, beta[-1])
+    share = root @ beta[:-1] / landmarks.own[:, None]
+    weights = np.zeros((len(landmarks.used), len(languages)), np.float32)
+    for k, s in enumerate(landmarks.sets):
+        weights[np.searchsorted(landmarks.used, s)] += share[k].astype(np.float32)
+    return LanguageModel(languages, landmarks.used, weights, beta[-1])
 
 
 def training_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang) of the training sample, drawn among texts of usable length."""
+    """(doc_id, lang, nth) of the training sample, nth the place among its language's."""
     usable = F.coalesce(fold_of(F.col("doc_id"), FOLDS) != HELD_FOLD, F.lit(False)) & F.col("lang").isNotNull()
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.length(docs["text"]).alias("chars"))
-    rows = staged(rows.where(usable & F.col("chars").between(1, LONG_CHARS)), "language-ids")
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("chars") <= TRAIN_CHARS).alias("n_short"))
-    sizes = counted.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    each = max(10, min(ROWS_PER_LANGUAGE, TRAIN_ROWS // max(1, len(sizes))))
-    short = _least(rows.where(F.col("chars") <= TRAIN_CHARS), {r["lang"]: r["n_short"] for r in sizes}, each)
-    drawn = _least(rows, {r["lang"]: r["n"] for r in sizes}, each)
-    ids = [(r["doc_id"], lang) for lang in drawn for r in within_budget(short.get(lang, []), drawn[lang], each, TRAIN_CHARS, LONG_CHARS)]
-    return docs.sparkSession.createDataFrame(ids, rows.select("doc_id", "lang").schema)
-
-
-def _least(rows: DataFrame, sizes: dict[str, int], each: int) -> dict[str, list]:
-    """The rows of least hash of each language, in that order."""
+    rows = staged(rows.where(usable & (F.col("chars") > 0)).select("doc_id", "lang").distinct(), "language-ids")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    each = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, TRAIN_ROWS // max(1, len(sizes))))
     # Four times as many as are taken pass a hash threshold first, so that ranking sees few rows.
-    table = rows.sparkSession.createDataFrame([(lang, min(1.0, 4.0 * each / max(1, n))) for lang, n in sizes.items()], "lang string, rate double")
+    table = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * each / r["n"])) for r in sizes], "lang string, rate double")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     drawn = rows.join(F.broadcast(table), "lang").withColumn("place", place).where(F.col("place") < F.col("rate") * F.lit(float(1 << 30)))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    found: dict[str, list] = {}
-    once = drawn.groupBy("doc_id", "lang", "place").agg(F.max("chars").alias("chars")).withColumn("nth", nth)
-    for r in sorted(once.where(F.col("nth") <= each).collect(), key=lambda r: (r["lang"], r["nth"])):
-        found.setdefault(r["lang"], []).append(r)
-    return found
-
-
-def train(docs: DataFrame) -> LanguageModel:
-    rows = sampled_texts(docs, training_ids(docs), LONG_CHARS).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    found = drawn.withColumn("nth", nth).where(F.col("nth") <= each).select("doc_id", "lang", "nth")
+    return docs.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def train(docs: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    def described(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grams = Grams()
+        found = [grams.set_of(t) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("nth"), pa.array(found, pa.list_(pa.int32()))], ["lang", "nth", "grams"])
+
+    texts = sampled_texts(docs, training_ids(docs))
+    rows = staged(map_batches(texts, described, "lang string, nth int, grams array<int>").where("size(grams) > 0"), "language-grams")
+    # Landmarks are dealt to the languages in turn.
+    chosen = rows.orderBy("nth", "lang").limit(landmarks).collect()
+    if not chosen:
+        return LanguageModel([], np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros(0))
+    marks = Landmarks([np.array(r["grams"], np.int32) for r in chosen])
+    carrier = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def compared(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sets = [np.array(s.values if s.is_valid else [], np.int32) for s in part.column("grams")]
+                kernel = carrier.value.kernel(sets)
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("nth"), pa.array(list(kernel), pa.list_(pa.float64()))], ["lang", "nth", "kernel"])
+
+    found = sorted(rows.mapInArrow(compared, "lang string, nth int, kernel array<double>").collect(), key=lambda r: (r["lang"], r["nth"]))
+    at = {(r["lang"], r["nth"]): i for i, r in enumerate(found)}
+    kernel = np.array([r["kernel"] for r in found])
+    return solve(marks, kernel[[at[r["lang"], r["nth"]] for r in chosen]], kernel, [r["lang"] for r in found], ridge)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

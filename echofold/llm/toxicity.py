@@ -4,16 +4,20 @@ A linear numpy classifier is trained from confirmed toxic texts (P) and unlabell
 risk  prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)) : the share of toxic text that U is bound to hold
 is taken off its negative risk, and where the estimate turns negative the step is reversed. The prior is
 the share of toxic rows among the labelled training rows. Features are the presence of words and of word
-beginnings, chosen by how far their share of P exceeds their share of U. A final
-logistic scaling, fitted on labelled training rows, turns margins into scores.
+beginnings, chosen by how far their share of P exceeds their share of U.
+
+The order of scores comes from that alone. A last logistic scaling of two numbers, which is supervised (it is
+fitted on labelled training rows, toxic or not), turns margins into scores, so that a cut has a meaning.
 
 Training takes a bounded sample: at most POSITIVES, LABELLED and UNLABELLED rows with the least hashes of
-their ids among those with a text. Texts of over TRAIN_CHARS characters are taken whole while they fit into
-LONG_CHARS for each role; shorter ones take the places of the rest. Every row is scored by its whole text.
+their ids among those with a text, each by its whole text. Texts become sets of features where they lie; the
+driver gets the FEATURES chosen ones and, of each sampled row, which of those it has. Every row is scored by
+its whole text.
 
 Defined results: a null or empty text, or one without any chosen feature, gets the score of no evidence.
 Contradicting labels of one id cancel; labels of null ids, or null, aren't used. Without any toxic
-training row that has a text of up to LONG_CHARS characters all scores are 0. Rows with null ids are scored and count as not held out.
+training row that has a text all scores are 0. Of rows that share an id the least text is learned from. Rows
+with null ids are scored and count as not held out.
 """
 
 from __future__ import annotations
@@ -22,17 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import fold_of, held_out, least_hashed, map_batches, sampled_texts, texts_of, unpack_rows, whole_rows, within_budget
+from echofold.llm.common import fold_of, held_out, least_hashed, map_batches, sampled_texts, texts_of, unpack_rows, whole_rows
 from echofold.plans.staging import staged
 
 FOLDS, HELD_FOLD = 4, 2
 POSITIVES, UNLABELLED, LABELLED = 3000, 9000, 6000
-TRAIN_CHARS = 20_000
-#: Characters of longer texts that a role takes in all.
-LONG_CHARS = 4_000_000
 FEATURES = 1500
 LEAST_DOCS = 3
 LEAST_GAIN = 4.0
@@ -82,52 +83,60 @@ class ToxicModel:
                 found.update(hits)
         return sorted(found)
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        return np.array([self.weights[self.present(t)].sum() + self.bias for t in texts], np.float64)
+    def margins(self, present: list[list[int]]) -> np.ndarray:
+        return np.array([self.weights[p].sum() + self.bias for p in present], np.float64)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.index:
             return np.zeros(len(texts))
-        return _sigmoid(self.scale * self.margins(texts) + self.shift)
+        return _sigmoid(self.scale * self.margins([self.present(t) for t in texts]) + self.shift)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _log_likelihood(k: np.ndarray, n: int, share: np.ndarray) -> np.ndarray:
-    share = np.clip(share, 1e-12, 1 - 1e-12)
-    return k * np.log(share) + (n - k) * np.log(1 - share)
+def _log_likelihood(k: Column, n: Column, share: Column) -> Column:
+    share = F.least(F.greatest(share, F.lit(1e-12)), F.lit(1 - 1e-12))
+    return k * F.log(share) + (n - k) * F.log(1 - share)
+
 
+def choose_features(found: DataFrame, n: int, m: int, most: int) -> list[str]:
+    """The features more frequent in P (n rows) than in U (m rows), by the log-likelihood ratio of the two shares.
 
-def choose_features(positive: list[str], unlabelled: list[str], most: int) -> list[str]:
-    """The features more frequent in P than in U, by the log-likelihood ratio of the two shares."""
-    counts: dict[str, list[int]] = {}
-    for side, texts in enumerate((positive, unlabelled)):
-        for text in texts:
-            for f in {f for w in words_of(text) for f in features_of(w)}:
-                counts.setdefault(f, [0, 0])[side] += 1
-    names = [f for f, (p, _) in counts.items() if p >= LEAST_DOCS]
-    if not names:
-        return []
-    p, u = (np.array([counts[f][side] for f in names], np.float64) for side in (0, 1))
-    n, m = len(positive), len(unlabelled)
+    found (role, features): the features of each sampled row.
+    """
+    each = found.select("role", F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(F.count_if(F.col("role") == "P").cast("double").alias("p"), F.count_if(F.col("role") == "U").cast("double").alias("u"))
+    p, u, n, m = F.col("p"), F.col("u"), F.lit(float(n)), F.lit(float(m))
     joint = (p + u) / (n + m)
     gain = _log_likelihood(p, n, p / n) + _log_likelihood(u, m, u / m) - _log_likelihood(p, n, joint) - _log_likelihood(u, m, joint)
-    gain = np.where(p / n > u / m, gain, 0.0)
-    return [names[i] for i in np.lexsort((names, -gain))[:most] if gain[i] >= LEAST_GAIN]
+    useful = counts.where((p >= LEAST_DOCS) & (p / n > u / m)).select("feature", F.round(gain, 9).alias("gain")).where(F.col("gain") >= LEAST_GAIN)
+    return [r["feature"] for r in useful.orderBy(F.desc("gain"), "feature").limit(most).collect()]
 
 
-def _matrix(model: ToxicModel, texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), len(model.index)), np.float32)
-    for i, text in enumerate(texts):
-        out[i, model.present(text)] = 1.0
+def _matrix(present: list[list[int]], width: int) -> np.ndarray:
+    out = np.zeros((len(present), width), np.float32)
+    for i, columns in enumerate(present):
+        out[i, columns] = 1.0
     return out
 
 
-def train_nnpu(model: ToxicModel, positive: list[str], unlabelled: list[str], prior: float, seed: int = 7) -> None:
-    """Adam on the non-negative risk with the sigmoid loss; sets weights and bias in place."""
-    xp, xu = _matrix(model, positive), _matrix(model, unlabelled)
+def nnpu_risk(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, np.ndarray, float]:
+    """The risk with the sigmoid loss, the slope of the step to take, and the negative part before it is cut at 0.
+
+    theta holds the weights and, last, the bias. Where the negative part is below 0 the step climbs out of it.
+    """
+    sp, su = _sigmoid(xp @ theta[:-1] + theta[-1]), _sigmoid(xu @ theta[:-1] + theta[-1])
+    dp, du = sp * (1 - sp) / len(xp), su * (1 - su) / len(xu)
+    negative = su.mean() - prior * sp.mean()
+    gp, gu = (-2 * prior * dp, du) if negative >= 0 else (prior * dp, -du)
+    slope = np.append(gp @ xp + gu @ xu, gp.sum() + gu.sum())
+    return prior * (1 - sp.mean()) + max(0.0, negative), slope, negative
+
+
+def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the non-negative risk."""
     rng = np.random.default_rng(seed)
     theta = np.zeros(xp.shape[1] + 1)
     mean, square, t = np.zeros_like(theta), np.zeros_like(theta), 0
@@ -135,21 +144,13 @@ def train_nnpu(model: ToxicModel, positive: list[str], unlabelled: list[str], pr
     for _ in range(EPOCHS):
         order = rng.permutation(len(xu))
         for at in range(0, len(order), BATCH):
-            bu = xu[order[at : at + BATCH]]
             bp = xp[rng.integers(0, len(xp), min(len(xp), BATCH // 2))]
-            sp, su = _sigmoid(bp @ theta[:-1] + theta[-1]), _sigmoid(bu @ theta[:-1] + theta[-1])
-            dp, du = sp * (1 - sp) / len(bp), su * (1 - su) / len(bu)
-            negative = su.mean() - prior * sp.mean()
-            if negative >= 0:
-                gp, gu = -2 * prior * dp, du
-            else:
-                gp, gu = prior * dp, -du
-            slope = np.append(gp @ bp + gu @ bu, gp.sum() + gu.sum()) + DECAY * theta
+            slope = nnpu_risk(theta, bp, xu[order[at : at + BATCH]], prior)[1] + DECAY * theta
             t += 1
             mean = 0.9 * mean + 0.1 * slope
             square = 0.999 * square + 0.001 * slope**2
             theta -= RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
-    model.weights, model.bias = theta[:-1], float(theta[-1])
+    return theta[:-1], float(theta[-1])
 
 
 def fit_scale(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -182,24 +183,40 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     if not shares.get(1):
         return model
     prior = min(0.9, shares[1] / sum(shares.values()))
-    least = F.xxhash64("doc_id")
-    rows = docs.select(docs["doc_id"].alias("doc_id"), F.length(docs["text"]).alias("chars")).where(usable & F.col("chars").between(1, LONG_CHARS))
-    known = staged(rows.groupBy("doc_id").agg(F.max("chars").alias("chars")).join(marked, "doc_id", "left"), "toxicity-ids")
+    rows = docs.select(docs["doc_id"].alias("doc_id"), F.length(docs["text"]).alias("chars")).where(usable & (F.col("chars") > 0))
+    known = staged(rows.select("doc_id").distinct().join(marked, "doc_id", "left"), "toxicity-ids")
     ids = []
     for role, of_role, most in (("P", known.where("toxic = 1"), POSITIVES), ("L", known.where("toxic is not null"), LABELLED), ("U", known, UNLABELLED)):
-        short = least_hashed(of_role.where(F.col("chars") <= TRAIN_CHARS), least, most, "doc_id").collect()
-        drawn = least_hashed(of_role, least, most, "doc_id").collect()
-        ids += [(r["doc_id"], role, -1 if role == "U" else r["toxic"]) for r in within_budget(short, drawn, most, TRAIN_CHARS, LONG_CHARS)]
+        ids += [(r["doc_id"], role, r["toxic"]) for r in least_hashed(of_role, F.xxhash64("doc_id"), most, "doc_id").collect()]
     sample = docs.sparkSession.createDataFrame(ids, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, role string, toxic int")
-    rows = sampled_texts(docs, sample, LONG_CHARS).collect()
-    rows.sort(key=lambda r: (r["role"], r["doc_id"]))
-    of = {role: [r["text"] for r in rows if r["role"] == role] for role in "PLU"}
-    if not of["P"] or not of["U"]:
+
+    def described(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sorted({f for w in words_of(t) for f in features_of(w)}) for t in texts_of(batch).to_pylist()]
+        return pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("doc_id", "role", "toxic")} | {"features": pa.array(found, pa.list_(pa.string()))})
+
+    texts = sampled_texts(docs, sample)
+    found = staged(map_batches(texts, described, sample.withColumn("features", F.array(F.lit(""))).schema), "toxicity-features")
+    count = {r["role"]: r["n"] for r in found.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not count.get("P"):
         return model
-    model.index = {f: i for i, f in enumerate(choose_features(of["P"], of["U"], FEATURES))}
-    train_nnpu(model, of["P"], of["U"], prior)
-    toxic = np.array([r["toxic"] for r in rows if r["role"] == "L"], np.float64)
-    model.scale, model.shift = fit_scale(model.margins(of["L"]), toxic)
+    model.index = {f: i for i, f in enumerate(choose_features(found, count["P"], count["U"], FEATURES))}
+    index = model.index
+
+    def placed(batches):
+        for batch in batches:
+            held = [[index[f] for f in features if f in index] for features in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("doc_id", "role", "toxic")} | {"present": pa.array(held, pa.list_(pa.int32()))})
+
+    of: dict[str, list] = {role: [] for role in "PLU"}
+    # Of at most POSITIVES + LABELLED + UNLABELLED rows, the places of at most FEATURES features.
+    for r in found.mapInArrow(placed, sample.withColumn("present", F.array(F.lit(0))).schema).collect():
+        of[r["role"]].append((r["doc_id"], r["toxic"], r["present"]))
+    for rows in of.values():
+        rows.sort(key=lambda r: r[0])
+    xp, xu = (_matrix([r[2] for r in of[role]], len(model.index)) for role in "PU")
+    model.weights, model.bias = train_nnpu(xp, xu, prior)
+    margins = model.margins([r[2] for r in of["L"]])
+    model.scale, model.shift = fit_scale(margins, np.array([r[1] for r in of["L"]], np.float64))
     return model
 
 

@@ -7,6 +7,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -143,15 +144,57 @@ def test_language(spark, data, as_rows):
     assert model.predict([None, "", "12 !", " \n"])[0] == ["und"] * 4
 
 
-def test_kernel_by_definition():
-    texts = ["the river walks", "der fluss geht weiter", "the stone river", "das haus am fluss"]
-    model = language.fit(texts, ["en", "de", "en", "de"])
-    grams = language.Grams(model.alphabet)
-    for t in texts:
-        ids = grams.ids(t)
-        plain = {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-        assert grams.distinct(ids) == len(plain) == len(set(ids.tolist()))
-    assert model.predict(texts)[0] == ["en", "de", "en", "de"]
+def plain_grams(text):
+    text = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+    return {text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)}
+
+
+def test_grams():
+    grams = language.Grams()
+    for t in ["the river walks", "Der Fluß -- geht  weiter!", "漢字 漢", "a", " ", "12 !"]:
+        assert grams.distinct(grams.ids(t)) == len(plain_grams(t)) == len(set(grams.ids(t).tolist()))
+    assert all(len(grams.set_of(t)) == 0 for t in (None, "", "12 !"))
+
+
+def test_kernel_ridge_by_definition(spark):
+    """Nyström ridge regression from sets of n-grams, against the trained model's regressions of whole texts."""
+    rnd = random.Random(21)
+    plain = {"en": "the river walks under stone bright morning and of in".split(), "de": "der fluss geht weiter das haus am schöne straße und".split(), "fr": "la rivière est très belle où le matin çà et là".split()}
+    docs = [(i, " ".join(rnd.choices(plain[lang], k=rnd.randrange(3, 25))), lang) for i in range(60) for lang in [rnd.choice(sorted(plain))]]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language.train(table, landmarks=12, ridge=1e-3)
+    taken = [(r.lang, r.nth, docs[r.doc_id][1]) for r in language.training_ids(table).collect()]
+    sets = {(lang, nth): plain_grams(t) for lang, nth, t in taken}
+    alike = lambda x, y: len(x & y) / (len(x) * len(y)) ** 0.5
+    keys = sorted(sets)
+    marks = sorted(sets, key=lambda k: (k[1], k[0]))[:12]
+    values, vectors = np.linalg.eigh(np.array([[alike(sets[a], sets[b]) for b in marks] for a in marks]))
+    keep = values > 1e-6 * values[-1]
+    lift = lambda s: np.append(np.array([alike(s, sets[m]) for m in marks]) @ vectors[:, keep] / np.sqrt(values[keep]), 1.0)
+    phi = np.array([lift(sets[k]) for k in keys])
+    signs = np.array([[1.0 if k[0] == lang else -1.0 for lang in sorted(plain)] for k in keys])
+    penalty = np.diag([1e-3 * len(keys)] * (phi.shape[1] - 1) + [1e-9])
+    beta = np.linalg.solve(phi.T @ phi + penalty, phi.T @ signs)
+    texts = [t for _, t, _ in docs]
+    expected = np.array([lift(plain_grams(t)) @ beta for t in texts])
+    assert model.languages == ["de", "en", "fr"] and np.abs(model.margins(texts) - expected).max() < 2e-2
+    assert [model.languages[i] for i in expected.argmax(axis=1)] == model.predict(texts)[0]
+
+
+def test_languages_of_other_scripts_and_rare_ones(spark):
+    kinds = {"zh": "我们在河边走路看书山水", "ja": "これはとても美しい川です", "ru": "река течёт под мостом", "hi": "नदी पुल के नीचे बहती है"}
+    rnd = random.Random(5)
+    docs = [(i, "".join(rnd.choices(kinds[lang], k=60)), lang) for i in range(80) for lang in [sorted(kinds)[i % 4]]] + [(500 + i, "qxz wvk jjq", "xx") for i in range(2)]
+    model = language.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    fresh = ["".join(rnd.choices(kinds[lang], k=60)) for lang in sorted(kinds)] + ["wvk qxz"]
+    assert model.predict(fresh)[0] == [*sorted(kinds), "xx"]
+
+
+def test_held_out_accuracy_on_the_tables(spark, data):
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    found = language.identify(docs, language.train(docs)).where("held_out").join(docs.select("doc_id", "lang").where("lang is not null"), "doc_id")
+    right, n = found.selectExpr("count_if(lang = lang_pred)", "count(*)").first()
+    assert n > 3000 and right / n >= 0.995
 
 
 # 5
@@ -229,7 +272,7 @@ def test_dense_lists_lose_nothing(spark, as_rows):
             if (j := place.get(x ^ r)) is not None and root(i) != root(j):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     df = spark.createDataFrame([(i, simhash._signed(x)) for x, i in place.items()], "doc_id long, fp long")
-    assert as_rows(simhash.labelled(df), "doc_id", "component_id") == [(i, root(i)) for i in range(len(found))]
+    assert as_rows(simhash.labelled(df), "doc_id", "component_id") == sorted(((i, root(i)) for i in range(len(found))), key=repr)
 
 
 def test_lists_of_positions():
@@ -294,9 +337,45 @@ def test_compare_with_next(awkward, as_rows):
             assert (r.n_chars, r.edited_sha256) == (len(own), sha(text))
             a, b, c = (spotsigs.signatures(t) for t in (own, text, following))
             assert r.near_edited == spotsigs.likeness(a, b) and r.near_next == spotsigs.likeness(a, c)
+            assert (r.alike_edited, r.alike_next) == (r.near_edited >= 0.8, r.near_next >= 0.8)
             assert (r.fingerprint, r.edited_fingerprint) == (spotsigs.fingerprint(a), spotsigs.fingerprint(b))
 
 
+def test_alike_is_the_coefficient_against_the_bound():
+    rnd = random.Random(3)
+    for _ in range(4000):
+        a = set(rnd.sample(range(60), rnd.randrange(0, 40)))
+        b = (a - set(rnd.sample(range(60), rnd.randrange(0, 12)))) | set(rnd.sample(range(60), rnd.randrange(0, 8)))
+        for least in (0.5, 0.8, 1.0) if rnd.random() < 0.1 else (0.8,):
+            assert spotsigs.alike(a, b, least) == (spotsigs.likeness(a, b) >= least - 1e-12), (a, b)
+
+
+def spots(text):
+    """Signatures by their definition, word by word: an anchor or a stand-in, and the next two content words."""
+    found, words = set(), re.sub(r"[\x00-/:-@\[-`{-\x7f]", " ", text.lower()).split()
+    anchors = [w.encode() in spotsigs.ANCHORS for w in words]
+    for i, word in enumerate(words):
+        last = max((j for j in range(i) if anchors[j]), default=-1)
+        if anchors[i] or i - last > spotsigs.REACH:
+            follow = [w for w, a in zip(words[i + 1 :], anchors[i + 1 :]) if not a]
+            found.add(" ".join([word, *follow[:2]]))
+    return found or {" ".join(words[i : i + 3]) for i in range(len(words))}
+
+
+def test_signatures_by_definition():
+    rnd = random.Random(14)
+    for _ in range(300):
+        text = " ".join(rnd.choice(["the", "of", "und", "river", "Stone", "glass", "paper", "x1", "seven,", "a-b"][: rnd.choice([5, 10])]) for _ in range(rnd.randrange(1, 40)))
+        assert spotsigs.signatures(text) == {xxhash.xxh64_intdigest(x.encode()) for x in spots(text)}, text
+
+
+def test_ids_that_are_not_numbers(spark):
+    rows = [("b", "the river stone"), ("a", "of glass paper"), (None, "x"), ("c", None)]
+    found = {r.doc_id: r for r in spotsigs.compare_with_next(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert found["b"].edited_sha256 == sha("the rive" + "of glas") and found["a"].edited_sha256 == sha("of glas" + "x") and found["c"].n_chars == 0
+    assert found[None].edited_sha256 == sha("x")
+
+
 def test_near_duplicate_classes(spark, as_rows):
     rnd = random.Random(12)
     plain = "the of and to in stone river green walks under bright morning glass paper window quiet number seven".split()
@@ -328,7 +407,7 @@ def test_signatures():
     expected = {b"the quick fox", b"of forest runs", b"a forest runs"}
     assert spotsigs.signatures(text) == {xxhash.xxh64_intdigest(s) for s in expected}
     assert spotsigs.likeness(set(), set()) == 1.0 and spotsigs.likeness({1}, set()) == 0.0
-    assert spotsigs.likeness({1, 2}, {2, 3}) == 1 / 3 and spotsigs.likeness({1}, set(range(9)), 0.5) == 0.0
+    assert spotsigs.likeness({1, 2}, {2, 3}) == 1 / 3 and not spotsigs.alike({1}, set(range(9)), 0.5)
 
 
 # 9
@@ -408,6 +487,44 @@ def test_toxicity(spark):
     assert all((r.score >= 0.3) == bool(r.predicted) and 0 <= r.score <= 1 for r in found.values())
 
 
+def test_risk_and_its_slope():
+    """The risk by its definition, and the slope by finite differences of what it stands for on either side of 0."""
+    rnd = np.random.default_rng(2)
+    xp, xu = (rnd.random((n, 5)) < share for n, share in ((7, 0.8), (30, 0.2)))
+    seen = set()
+    for prior in (0.05, 0.3, 0.9):
+        for shift in (-3.0, 0.0, 3.0):
+            theta = np.append(rnd.normal(size=5) + abs(shift) / 2, shift)
+            sig = lambda x, t: 1 / (1 + np.exp(-(x @ t[:-1] + t[-1])))
+            part = lambda t: sig(xu, t).mean() - prior * sig(xp, t).mean()
+            goal = (lambda t: prior * (1 - sig(xp, t)).mean() + part(t)) if part(theta) >= 0 else (lambda t: -part(t))
+            risk, slope, negative = toxicity.nnpu_risk(theta, xp.astype(np.float32), xu.astype(np.float32), prior)
+            step = 1e-6 * np.eye(6)
+            expected = [(goal(theta + s) - goal(theta - s)) / 2e-6 for s in step]
+            assert np.allclose(slope, expected, atol=1e-7) and np.isclose(negative, part(theta))
+            assert np.isclose(risk, prior * (1 - sig(xp, theta)).mean() + max(0.0, part(theta)))
+            seen.add(negative >= 0)
+    assert seen == {True, False}
+
+
+def test_features_by_their_shares(spark):
+    texts = [("P", "a bad word", 40), ("P", "a good one", 5), ("U", "a good one", 90), ("U", "a bad word", 3)]
+    rows = [(role, sorted({f for w in toxicity.words_of(t) for f in toxicity.features_of(w)})) for role, t, n in texts for _ in range(n)]
+    found = toxicity.choose_features(spark.createDataFrame(rows, "role string, features array<string>"), 45, 93, 10)
+    assert found == ["bad", "word"]
+
+
+def test_held_out_toxicity_on_the_tables(spark, data):
+    folder = data.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    found = toxicity.score(docs, model).where("held_out").join(labels.where("toxic is not null"), "doc_id").collect()
+    pos, neg = ([r.score for r in found if r.toxic == t] for t in (1, 0))
+    auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
+    caught, called = sum(p >= 0.3 for p in pos), sum(r.predicted for r in found)
+    assert len(pos) > 100 and auc >= 0.97 and caught / len(pos) >= 0.9 and caught / called >= 0.9
+
+
 def test_toxicity_without_positives(awkward, spark):
     model = toxicity.train(awkward, spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(awkward, model).collect()} == {0.0}
