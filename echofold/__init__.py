@@ -12,11 +12,11 @@ _EXPORTS = {
     "echofold.functions.numbers": ("plain", "two_places"),
     "echofold.functions.options": ("Options",),
     "echofold.functions.paths": ("canonical_path",),
-    "echofold.functions.structure": ("CANDIDATE_KINDS", "candidates", "fingerprints", "node_count", "post_order", "subtree_hash"),
+    "echofold.functions.structure": ("CANDIDATE_KINDS", "NormalizedNode", "candidates", "fingerprints", "keeps_structural_child", "markers", "node_count", "normalize", "post_order", "subtree_hash", "tag"),
     "echofold.operators.clusters": ("cluster_members", "clusters", "numbered", "report_order"),
     "echofold.operators.components": ("connected_components",),
-    "echofold.operators.regions": ("cluster_status", "gate_fails", "touched", "untracked"),
-    "echofold.operators.similarity": ("distinct_sets", "matching_edges", "similar_sets"),
+    "echofold.operators.regions": ("cluster_status", "gate_fails", "membership", "touched", "untracked"),
+    "echofold.operators.similarity": ("distinct_sets", "large_enough", "matching_edges", "similar_sets"),
     "echofold.plans.finder": ("ScanResult", "cluster_entries", "find_clusters", "find_clusters_in_table", "scan"),
     "echofold.plans.report": ("Cluster", "Location", "cluster_of", "format_cluster", "in_order", "to_edn", "to_json", "to_text"),
     "echofold.sources.diff": ("ChangedRange", "ChangedRegions", "parse_unified_diff"),

@@ -105,7 +105,7 @@ def statuses(spark: SparkSession, result: ScanResult, scope: ChangedScope | None
         found = cluster_status(result.members, None)
     else:
         names = spark.createDataFrame([(f, canonical_path(scope.root, f)) for f in result.files] or [("", "")], "file string, canonical string")
-        at = result.members.join(F.broadcast(names), "file").withColumn("file", F.col("canonical")).drop("canonical")
+        at = result.members.join(names, "file").withColumn("file", F.col("canonical")).drop("canonical")
         found = cluster_status(at, scope.regions.to_df(spark))
     return {r["cluster_id"]: r["status"] for r in found.collect()}
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -25,6 +26,51 @@ CANDIDATE_KINDS = frozenset(
 )
 
 
+#: The kinds of names and literals, which are no part of a structure. The parser makes no nodes of them.
+DROPPED_KINDS = frozenset(
+    """
+    Identifier PrivateIdentifier StringLiteral NumericLiteral NoSubstitutionTemplateLiteral RegularExpressionLiteral
+    BigIntLiteral TrueKeyword FalseKeyword NullKeyword
+    """.split()
+)
+
+
+def tag(node: Node) -> str:
+    return node.kind
+
+
+def markers(node: Node) -> list[str]:
+    """What a node's own shape adds beside its kind, in order."""
+    return sorted(node.marks)
+
+
+def keeps_structural_child(kind: str) -> bool:
+    return kind not in DROPPED_KINDS and not kind.startswith("JSDoc")
+
+
+@dataclass(frozen=True)
+class NormalizedNode:
+    """A tree of tags: markers first, as leaves, then the kept children. count takes in the node itself."""
+
+    tag: str
+    children: tuple["NormalizedNode", ...] = ()
+    count: int = 1
+
+
+def normalize(root: Node) -> NormalizedNode:
+    """The normalized tree of a node of any depth."""
+    stack: list[tuple[Node, list[NormalizedNode], list[NormalizedNode], bool]] = [(root, top := [], [], False)]
+    while stack:
+        node, siblings, own, done = stack.pop()
+        if done:
+            siblings.append(NormalizedNode(tag(node), tuple(own), 1 + sum(c.count for c in own)))
+            continue
+        own += [NormalizedNode(m) for m in markers(node)]
+        stack.append((node, siblings, own, True))
+        stack += [(kid, own, [], False) for kid in reversed(node.kids) if keeps_structural_child(kid.kind)]
+    return top[0]
+
+
 def subtree_hash(kind: str, children: list[int]) -> int:
     """53 bits, dependent on the order of children."""
     packed = kind.encode() + b"\0" + struct.pack(f"<{len(children)}Q", *children)

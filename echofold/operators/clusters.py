@@ -3,6 +3,9 @@
 Vertices are locations (file, start_line, end_line), not entries: entries of one location are one vertex,
 whose nodes are the most that any matched entry there has. A cluster is a connected component; its score
 range covers all its edges.
+
+Defined results: entries with a null id or location are in no cluster; rows that repeat an entry count once; a
+null number of nodes is less than any other.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ def cluster_members(entries: DataFrame, edges: DataFrame, min_locations: int = 2
 
     cluster_id is the least entry_id of the component's locations. This form holds clusters of any size.
     """
+    entries = entries.dropna(subset=["entry_id", *LOCATION])
     spots = entries.groupBy(*LOCATION).agg(F.min("entry_id").alias("spot"))
     placed = entries.select("entry_id", "nodes", *LOCATION).join(spots, LOCATION)
     ends = edges.select(F.col("l").alias("entry_id")).unionByName(edges.select(F.col("r").alias("entry_id"))).distinct()
     matched = placed.join(ends, "entry_id").groupBy("spot", *LOCATION).agg(F.max("nodes").alias("nodes"))
-    at = placed.select("entry_id", "spot")
+    at = placed.select("entry_id", "spot").distinct()
     joined = edges.join(at.withColumnsRenamed({"entry_id": "l", "spot": "a"}), "l").join(at.withColumnsRenamed({"entry_id": "r", "spot": "b"}), "r").select("a", "b", "score")
     groups = connected_components(joined, "a", "b", driver_limit=driver_limit)
     # An edge between entries of one location belongs to that location's component, if it has one.

@@ -1,4 +1,8 @@
-"""Changed regions and the status they give to clusters."""
+"""Changed regions and the status they give to clusters.
+
+Defined results: locations and regions with a null file or line touch nothing; repeated regions count once; without
+locations there is no status and the gate passes.
+"""
 
 from __future__ import annotations
 

@@ -4,10 +4,15 @@ Entries are rows (entry_id, file, start_line, end_line, nodes, fingerprints), th
 distinct longs. Two entries match if the Jaccard coefficient of their sets reaches the threshold and they
 don't overlap as regions of one file.
 
+Defined results: an entry with a null id, file, line or set, or an empty set, matches nothing. Rows that repeat
+an entry count once; different entries have different ids. Tables without rows have no edges and no clusters.
+
 Plan. Entries of equal sets are collapsed first, so copies cost one row each and never a pair. Distinct
 sets are joined on their prefix tokens: with tokens ordered by rarity, two sets of coefficient t or more
-share one of the first n - ceil(t n) + 1 tokens of each. The size bound is checked in the join, candidates
-are verified by their intersection. No step is approximate and none forms a cross product.
+share one of the first n - ceil(t n) + 1 tokens of each. The size bound and the bound on what can be shared
+from a token on are checked in the join, candidates are verified by their intersection. No step is approximate
+and none forms a cross product. A token that very many sets share is a skewed key of an equi-join whose
+output is dealt anew: adaptive execution cuts it into blocks on both sides.
 """
 
 from __future__ import annotations
@@ -44,7 +49,9 @@ def signature(fingerprints: Column) -> Column:
 
 
 def with_signature(entries: DataFrame) -> DataFrame:
-    return entries.where(F.size("fingerprints") > 0).withColumn("sig", signature(F.col("fingerprints")))
+    """Entries that can match, with their sets' signatures."""
+    needed = [c for c in ("entry_id", "file", "start_line", "end_line") if c in entries.columns]
+    return entries.where(F.size("fingerprints") > 0).dropna(subset=needed).withColumn("sig", signature(F.col("fingerprints")))
 
 
 def distinct_sets(entries: DataFrame) -> DataFrame:
@@ -70,7 +77,7 @@ def token_frequency(sets: DataFrame) -> DataFrame:
 
 
 def prefix_tokens(sets: DataFrame, threshold: float) -> DataFrame:
-    """(f, set_id, n): prefix tokens that occur in two sets or more.
+    """(f, set_id, n, place): prefix tokens that occur in two sets or more, with their places in the set's order.
 
     A token of one set only comes first in the order by rarity and can't meet another: such tokens take up
     their places of the prefix by their number alone and are dropped before anything is sorted.
@@ -80,7 +87,16 @@ def prefix_tokens(sets: DataFrame, threshold: float) -> DataFrame:
     own = Window.partitionBy("set_id")
     alone = F.col("n") - F.count(F.lit(1)).over(own)
     placed = shared.withColumn("place", alone + F.row_number().over(own.orderBy("frequency", "f")))
-    return placed.where(F.col("place") <= prefix_length(F.col("n"), threshold)).select("f", "set_id", "n")
+    return placed.where(F.col("place") <= prefix_length(F.col("n"), threshold)).select("f", "set_id", "n", "place")
+
+
+def enough_left(a_size: Column, a_place: Column, b_size: Column, b_place: Column, threshold: float) -> Column:
+    """Whether a token can be the first that two sets share, by what follows it in both.
+
+    The first shared token of any match passes; at a later one the match may fail, having been found already.
+    """
+    needed = F.ceil((a_size + b_size) * F.lit(threshold / (1 + threshold)) - F.lit(BOUND_SLACK))
+    return F.least(a_size - a_place, b_size - b_place) + 1 >= needed
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -90,11 +106,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, score): ids of different sets with score >= threshold, each pair once."""
-    tokens = prefix_tokens(sets, threshold)
-    left = tokens.select("f", F.col("set_id").alias("a"), F.col("n").alias("an"))
-    right = tokens.select("f", F.col("set_id").alias("b"), F.col("n").alias("bn"))
-    close = (F.col("a") < F.col("b")) & within_size_window(F.col("an"), F.col("bn"), threshold)
-    candidates = left.join(right, "f").where(close).select("a", "b").distinct()
+    tokens = staged(prefix_tokens(sets, threshold), "prefixes")
+    side = lambda name: tokens.select("f", F.col("set_id").alias(name), F.col("n").alias(f"{name}n"), F.col("place").alias(f"{name}p"))
+    an, ap, bn, bp = (F.col(c) for c in ("an", "ap", "bn", "bp"))
+    close = (F.col("a") < F.col("b")) & within_size_window(an, bn, threshold) & enough_left(an, ap, bn, bp, threshold)
+    candidates = side("a").join(side("b"), "f").where(close).select("a", "b").distinct()
     held = sets.select("set_id", "fingerprints")
     scored = candidates.join(held.withColumnsRenamed({"set_id": "a", "fingerprints": "fa"}), "a").join(held.withColumnsRenamed({"set_id": "b", "fingerprints": "fb"}), "b")
     return scored.select("a", "b", jaccard(F.col("fa"), F.col("fb")).alias("score")).where(F.col("score") >= F.lit(float(threshold)))

@@ -98,6 +98,27 @@ def test_lines_follow_all_breaks():
     assert entry[:2] == (3, 5)
 
 
+def test_normalized_trees():
+    from echofold import keeps_structural_child, markers, normalize, tag
+
+    (function,) = parse(CLAMP, False).kids
+    tree = normalize(function)
+    assert (tree.tag, tree.count) == ("FunctionDeclaration", 22) and tag(function) == tree.tag
+    (member,) = parse("class Lamp { static volts?: number = 3; }", False).kids[0].kids
+    assert markers(member) == ["modifier:StaticKeyword", "optional"]
+    assert [c.tag for c in normalize(member).children] == ["modifier:StaticKeyword", "optional", "StaticKeyword", "QuestionToken", "NumberKeyword"]
+    assert not any(map(keeps_structural_child, ("Identifier", "PrivateIdentifier", "StringLiteral", "TrueKeyword", "NullKeyword", "JSDocComment"))) and keeps_structural_child("ThisKeyword")
+
+    def hashes(node):
+        below = [hashes(c) for c in node.children]
+        own = subtree_hash(node.tag, [h for h, _ in below])
+        return own, {own}.union(*[s for _, s in below])
+
+    from echofold import fingerprints
+
+    assert hashes(tree)[1] == fingerprints(function)
+
+
 def test_public_names():
     import echofold
 
