@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,14 +50,20 @@ def words_of(text: str) -> set[bytes]:
     return set(text.lower().encode("utf-8", "replace").translate(_BLANKS).split())
 
 
-def features_of(word: bytes) -> list[str]:
+def feature(name: str) -> int:
+    """A word, or a beginning of words with a star, is known by a hash of 64 bits."""
+    found = xxhash.xxh64_intdigest(name.encode())
+    return found - (1 << 64) if found >> 63 else found
+
+
+def features_of(word: bytes) -> list[int]:
     plain = word.decode("utf-8", "replace")
-    return [plain, *(f"{plain[:n]}*" for n in BEGINNINGS if len(plain) > n)]
+    return [feature(plain), *(feature(f"{plain[:n]}*") for n in BEGINNINGS if len(plain) > n)]
 
 
 @dataclass
 class ToxicModel:
-    index: dict[str, int]
+    index: dict[int, int]
     weights: np.ndarray
     bias: float
     scale: float = 1.0
@@ -101,7 +108,7 @@ def _log_likelihood(k: Column, n: Column, share: Column) -> Column:
     return k * F.log(share) + (n - k) * F.log(1 - share)
 
 
-def choose_features(found: DataFrame, n: int, m: int, most: int) -> list[str]:
+def choose_features(found: DataFrame, n: int, m: int, most: int) -> list[int]:
     """The features more frequent in P (n rows) than in U (m rows), by the log-likelihood ratio of the two shares.
 
     found (role, features): the features of each sampled row.
@@ -191,20 +198,29 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     sample = docs.sparkSession.createDataFrame(ids, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, role string, toxic int")
 
     def described(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted({f for w in words_of(t) for f in features_of(w)}) for t in texts_of(batch).to_pylist()]
-        return pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("doc_id", "role", "toxic")} | {"features": pa.array(found, pa.list_(pa.string()))})
+        known: dict[bytes, list[int]] = {}
+        found = []
+        for text in texts_of(batch).to_pylist():
+            words = words_of(text)
+            known |= {w: features_of(w) for w in words if w not in known}
+            found.append(np.unique(np.fromiter((f for w in words for f in known[w]), np.int64)))
+        return pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("doc_id", "role", "toxic")} | {"features": pa.array(found, pa.list_(pa.int64()))})
 
     texts = sampled_texts(docs, sample)
-    found = staged(map_batches(texts, described, sample.withColumn("features", F.array(F.lit(""))).schema), "toxicity-features")
+    found = staged(map_batches(texts, described, sample.withColumn("features", F.array(F.lit(0).cast("long"))).schema), "toxicity-features")
     count = {r["role"]: r["n"] for r in found.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not count.get("P"):
         return model
     model.index = {f: i for i, f in enumerate(choose_features(found, count["P"], count["U"], FEATURES))}
-    index = model.index
+    chosen = np.array(sorted(model.index), np.int64)
+    columns = np.array([model.index[f] for f in chosen.tolist()], np.int32)
 
     def placed(batches):
         for batch in batches:
-            held = [[index[f] for f in features if f in index] for features in batch.column("features").to_pylist()]
+            held = []
+            for features in batch.column("features"):
+                own = features.values.to_numpy() if features.is_valid else chosen[:0]
+                held.append(columns[np.isin(chosen, own)])
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("doc_id", "role", "toxic")} | {"present": pa.array(held, pa.list_(pa.int32()))})
 
     of: dict[str, list] = {role: [] for role in "PLU"}

@@ -92,6 +92,24 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string, source string").repartition(5)).collect()), key=repr)
 
 
+@pytest.mark.parametrize("share", [0.3, 1.5, 1.99, 2.0, 5.0])
+def test_targets_by_sharing_again_round_by_round(spark, share):
+    rnd = random.Random(int(100 * share))
+    sizes = {f"s{i:03d}": rnd.choice([0, 1, rnd.randrange(50), rnd.randrange(100_000)]) for i in range(90)} | {None: 700}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    budget, capped = share * sum(sizes.values()), set()
+    while len(capped) < len(sizes):
+        rate = (budget - sum(2 * sizes[s] for s in capped)) / sum(weight[s] for s in sizes if s not in capped)
+        above = {s for s in sizes if s not in capped and weight[s] * rate > 2 * sizes[s]}
+        if not above:
+            break
+        capped |= above
+    expected = {s: 2.0 * sizes[s] if s in capped else weight[s] * rate for s in sizes}
+    table = spark.createDataFrame([(s is None, s or "", 1, n) for s, n in sizes.items()], "no_source boolean, source_key string, n long, source_size long").repartition(3)
+    found = {None if r.no_source else r.source_key: r.target for r in mixing.source_targets(table, share=share).collect()}
+    assert found == pytest.approx(expected)
+
+
 def test_mixed_documents_are_the_plan(awkward):
     plan = mixing.mix(awkward).collect()
     assert mixing.mixed_documents(awkward).count() == sum(r.copies for r in plan)
@@ -510,8 +528,8 @@ def test_risk_and_its_slope():
 def test_features_by_their_shares(spark):
     texts = [("P", "a bad word", 40), ("P", "a good one", 5), ("U", "a good one", 90), ("U", "a bad word", 3)]
     rows = [(role, sorted({f for w in toxicity.words_of(t) for f in toxicity.features_of(w)})) for role, t, n in texts for _ in range(n)]
-    found = toxicity.choose_features(spark.createDataFrame(rows, "role string, features array<string>"), 45, 93, 10)
-    assert found == ["bad", "word"]
+    found = toxicity.choose_features(spark.createDataFrame(rows, "role string, features array<long>"), 45, 93, 10)
+    assert sorted(found) == sorted(map(toxicity.feature, ["bad", "word"]))
 
 
 def test_held_out_toxicity_on_the_tables(spark, data):
