@@ -4,11 +4,12 @@ Texts are exploded into lines; a line's key is the line stripped and lower-cased
 hash. Distinct documents are counted for each hash, hashes over the threshold lose their lines in
 all documents but the one of largest id, and what stays is put together again by position. Only
 hashes and ids are shuffled for the counts; each text is moved once, to meet the hashes it loses.
-A hash that a third of the documents hold is pre-aggregated before it is counted, and its documents
-are spread over SALTS join keys.
+A hash that a third of the documents hold is pre-aggregated before it is counted; hashes with a thousandth
+of all entries or more are broadcast, so their documents never meet in one task. What a text loses is gathered
+by its id and a hash of the text: a group is one text's lines, however many rows share an id.
 
 Defined results: a null or empty text is one empty line. Rows of equal id count as one document and
-lose the same keys. A null id is an id of its own that is smaller than all others. A line whose key
+each loses its lines of the same keys. A null id is an id of its own that is smaller than all others. A line whose key
 repeats within the kept document stays each time. Other columns are passed through or not read.
 """
 
@@ -21,10 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import ASCII_SPACE, map_batches, texts_of, unpack_rows, whole_rows
+from echofold.llm.common import ASCII_SPACE, join_by_key, map_batches, texts_of, unpack_rows, whole_rows
 from echofold.plans.staging import staged
 
-SALTS = 16
 _SPACE = ASCII_SPACE.encode()
 
 
@@ -37,7 +37,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, key): the distinct keys of each row's text."""
+    """(doc_id, tie, key): the distinct keys of each row's text, tie being a hash of the text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, keys = [], []
@@ -45,29 +45,31 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
             found = {k for line in text.split(b"\n") if len(line) >= min_chars and (k := line_key(line, min_chars))}
             at += [i] * len(found)
             keys += found
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array(keys, pa.binary())], ["doc_id", "key"])
+        rows = pa.array(at, pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tie").take(rows), pa.array(keys, pa.binary())], ["doc_id", "tie", "key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, key binary")
+    return map_batches(docs.select("doc_id", "tie", "text"), work, f"doc_id {kind}, tie long, key binary")
 
 
 def lost_keys(pairs: DataFrame, min_docs: int) -> DataFrame:
-    """(doc_id, lost): the keys that each document loses."""
-    shared = pairs.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    spread = shared.select("key", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    lost = salted.join(spread, ["key", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    """(doc_id, tie, lost): the keys that each text loses."""
+    by_doc = pairs.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    shared = by_doc.groupBy("key").agg(F.sum("rows").alias("held"), F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+    shared = staged(shared.where(F.col("n") >= min_docs).select("key", "held", "keeper"), "shared-lines")
+    lost = join_by_key(pairs, shared, "key", "held", pairs.count()).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return lost.groupBy("doc_id", "tie").agg(F.collect_set("key").alias("lost"))
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row: doc_id, n_lines, n_dropped, kept_sha256; with_text adds kept (null where nothing is dropped) and row_ (all columns)."""
     row, _ = whole_rows(docs)
-    plain = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    given = docs.select(docs[id_column].alias("doc_id"), row) if with_text else plain
+    tie = F.xxhash64(docs[text_column]).alias("tie")
+    plain = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"), tie)
+    given = docs.select(docs[id_column].alias("doc_id"), row, tie) if with_text else plain
     pairs = staged(line_keys(plain, min_chars), "line-keys")
-    lost = lost_keys(pairs, min_docs).select(F.col("doc_id").alias("lost_id"), "lost")
-    joined = given.join(lost, given["doc_id"].eqNullSafe(F.col("lost_id")), "left").drop("lost_id")
+    lost = lost_keys(pairs, min_docs).select(F.col("doc_id").alias("lost_id"), F.col("tie").alias("lost_tie"), "lost")
+    joined = given.join(lost, given["doc_id"].eqNullSafe(F.col("lost_id")) & (given["tie"] == F.col("lost_tie")), "left").drop("lost_id", "lost_tie", "tie")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_lines, n_dropped, sha, kept = [], [], [], []
