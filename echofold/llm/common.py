@@ -99,19 +99,23 @@ def normal_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def least_hashed(df: DataFrame, hashed: Column, most: int, *ties: str | Column) -> DataFrame:
-    """The rows of least hash, most of them at most; ties settle equal hashes.
+def least_hashed(df: DataFrame, hashed: Column, most: int, *ties: str | Column, total: int | None = None) -> DataFrame:
+    """The rows of least hash, most of them at most; ties settle equal hashes. total is the number of rows, if known.
 
     Of a large table only about four times as many rows pass a threshold on the hash before they are
     ordered, so that what tasks send on for ordering doesn't grow with their number.
     """
     place = F.pmod(hashed, F.lit(1 << 40))
-    total = df.count()
+    total = df.count() if total is None else total
     if total > 8 * most:
         df = df.where(place < (1 << 40) * 4 * most // total)
     return df.orderBy(place, *ties).limit(most)
 
 
+#: Ranges of a table at most: the sample that finds them comes to the driver.
+MOST_RANGES = 32_768
+
+
 class RangeBuckets:
     """Split points of a total order (key, tie), found from a bounded hash sample.
 
@@ -124,10 +128,10 @@ class RangeBuckets:
         self.points = points
 
     @classmethod
-    def sample(cls, df: DataFrame, key: str, tie: str, buckets: int | None = None, per_bucket: int = 12) -> "RangeBuckets":
-        buckets = buckets or min(4 * shuffle_partitions(df.sparkSession), 8192)
+    def sample(cls, df: DataFrame, key: str, tie: str, buckets: int | None = None, per_bucket: int = 12, total: int | None = None) -> "RangeBuckets":
+        buckets = buckets or min(4 * shuffle_partitions(df.sparkSession), MOST_RANGES)
         keys = df.select(F.col(key).alias("k"), F.col(tie).alias("t")).where("k is not null")
-        rows = least_hashed(keys, F.xxhash64("k", "t"), buckets * per_bucket, "k", "t").collect()
+        rows = least_hashed(keys, F.xxhash64("k", "t"), buckets * per_bucket, "k", "t", total=total).collect()
         ordered = sorted({(r["k"], r["t"]) for r in rows})
         step = max(1, len(ordered) // buckets)
         return cls(ordered[step::step])
@@ -135,6 +139,10 @@ class RangeBuckets:
     def of(self, key, tie) -> int:
         return bisect_right(self.points, (key, tie))
 
+    def after_prefix(self, key: str) -> int:
+        """The last range that may hold a text beginning with key."""
+        return bisect_right(self.points, key, key=lambda point: point[0][: len(key)])
+
     @property
     def count(self) -> int:
         return len(self.points) + 1

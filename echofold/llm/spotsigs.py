@@ -157,9 +157,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     bound_batches(spark)
     given = docs.select(docs["doc_id"].alias("doc_id"), _ordered(docs["doc_id"], docs.schema["doc_id"].dataType).alias("key"), normal_text(docs["text"]).alias("text"))
     given = given.withColumn("tie", F.xxhash64("text"))
-    top = given.agg(F.max(F.struct("key", "tie")).alias("top")).first()["top"]
-    last = (top["key"], top["tie"]) if top else None
-    points = RangeBuckets.sample(given, "key", "tie").points
+    all_of = given.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("key", "tie")).alias("top")).first()
+    last = (all_of["top"]["key"], all_of["top"]["tie"]) if all_of["top"] else None
+    points = RangeBuckets.sample(given, "key", "tie", total=all_of["n"]).points
 
     # A range holds the keys above one point, up to and with the next; its greatest is thus known.
     @F.pandas_udf("array<struct<bucket:int,tail:boolean>>")

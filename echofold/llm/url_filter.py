@@ -41,7 +41,6 @@ RULES = [
 ]
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LAST = "\U0010ffff"
 
 
 def host_of(url: Column) -> Column:
@@ -96,17 +95,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     spark = pages.sparkSession
     ship_package(spark)
     wanted = _rule_rows(rules)
-    most_labels = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
+    most_labels = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
     given = pages.select(pages["page_id"].alias("page_id"), host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
     labels = F.split("host", r"\.")
-    # Level 0 stands for the page itself and always stays; its key is below all others.
-    levels = F.sequence(F.lit(0), F.least(F.size(labels), F.lit(most_labels)))
+    # A suffix of one label every host has: its row stands for the page as well and always stays.
+    levels = F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most_labels)))
     spread = given.withColumn("level", F.explode(levels))
     suffix = F.slice(labels, F.size(labels) - F.col("level") + 1, F.col("level"))
-    keyed = spread.withColumn("key", F.when(F.col("level") == 0, F.lit("")).otherwise(key_of(suffix, F.col("path"))))
-    keyed = keyed.withColumn("tie", F.xxhash64("page_id", "host", "path"))
-    ranges = RangeBuckets.sample(keyed.where("level > 0"), "key", "tie")
-    least, most = -(1 << 63), (1 << 63) - 1
+    keyed = spread.withColumn("key", key_of(suffix, F.col("path"))).withColumn("tie", F.xxhash64("page_id", "host", "path"))
+    ranges = RangeBuckets.sample(keyed, "key", "tie")
+    least = -(1 << 63)
 
     @F.pandas_udf("int")
     def bucket_of(keys, ties):
@@ -114,21 +112,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
 
     @F.pandas_udf("array<int>")
     def buckets_of(keys):
-        return keys.map(lambda k: list(range(ranges.of(k, least), ranges.of(k + _LAST, most) + 1)))
+        return keys.map(lambda k: list(range(ranges.of(k, least), ranges.after_prefix(k) + 1)))
 
-    page_rows = keyed.where("level > 0").withColumn("bucket", bucket_of("key", "tie"))
+    page_rows = keyed.withColumn("bucket", bucket_of("key", "tie"))
     rule_rows = wanted.withColumn("bucket", F.explode(buckets_of("key")))
     both = page_rows.select("bucket", "key", F.lit(True).alias("is_page"), "page_id", "host", "path", "level", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("int").alias("host_length")).unionByName(
         rule_rows.select("bucket", "key", F.lit(False).alias("is_page"), "rule", "verdict", "host_length"), allowMissingColumns=True
     )
     dealt = both.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "key", "is_page")
     schema = dealt.select("page_id", "host", "path", "level", "rule", "verdict", "host_length").schema
-    hits = dealt.mapInArrow(_sweep, schema).where("rule is not null")
-    itself = keyed.where("level = 0").select("page_id", "host", "path", "level", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("int").alias("host_length"))
-    # A hit comes once for each level of a page; equal rows of pages are counted at level 0.
+    hits = dealt.mapInArrow(_sweep, schema).where("rule is not null or level = 1")
+    # A hit comes once for each level of a page; equal rows of pages are counted at the first.
     rank = F.struct(F.length("rule"), "host_length", (F.col("verdict") == "allow"), "rule", "verdict")
-    judged = itself.unionByName(hits).groupBy("page_id", "host", "path").agg(
-        F.count(F.when(F.col("level") == 0, 1)).alias("times"), F.max(F.when(F.col("rule").isNotNull(), rank)).alias("best")
+    judged = hits.groupBy("page_id", "host", "path").agg(
+        F.count(F.when(F.col("level") == 1, 1)).alias("times"), F.max(F.when(F.col("rule").isNotNull(), rank)).alias("best")
     )
     again = judged.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
     return again.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -49,6 +49,28 @@ def test_many_nested_rules_over_many_ranges(spark, as_rows):
     assert found == sorted(((i, *brute_verdict(u, rules)) for i, u in rows), key=repr)
 
 
+def test_pages_with_clashing_columns_and_last_code_points(spark, as_rows):
+    from pyspark.sql import functions as F
+
+    last = "\U0010ffff"
+    urls = [*URLS, f"http://com/en/{last}", f"http://a.com/en/{last}{last}x", f"http://example.com/en/7{last}"] * 3
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    clashing = pages.select("*", *[F.lit("x").alias(c) for c in ("host", "path", "key", "rule", "verdict", "level", "tie", "bucket", "labels")])
+    found = as_rows(url_filter.judge(clashing, url_filter.rule_table(spark, url_filter.RULES)), "page_id", "host", "path", "rule", "verdict")
+    assert found == sorted(((i, *brute_verdict(u, url_filter.RULES)) for i, u in enumerate(urls)), key=repr)
+
+
+def test_ranges_hold_whole_prefixes():
+    from echofold.llm.common import RangeBuckets
+
+    last = "\U0010ffff"
+    points = sorted((k, t) for k in ["a", "ab", f"ab{last}", f"ab{last}{last}", "ac", "b"] for t in (1, 2))
+    ranges = RangeBuckets(points)
+    for key in ["", "a", "ab", f"ab{last}", "ac", "abz"]:
+        for text in [key + x for x in ("", "a", last, last + last, last * 3 + "z")]:
+            assert ranges.of(key, -(1 << 63)) <= ranges.of(text, 7) <= ranges.after_prefix(key)
+
+
 def test_no_pages_no_rules(spark):
     pages = spark.createDataFrame([], "page_id long, url string, key string")
     assert url_filter.judge(pages, url_filter.rule_table(spark, url_filter.RULES)).count() == 0
@@ -173,9 +195,13 @@ def test_query_runs_on_all_rows(spark, data, name):
 
 
 def test_pipeline_stage_by_stage(spark, data, as_rows):
-    """Every stage against the operator's own decisions or brute force, on what its predecessor kept."""
-    from echofold.llm import bpe, mixing, simhash, toxicity
-    from tests.llm.test_texts import ENCODING, brute_components, brute_fingerprint, brute_lines, sha
+    """Every stage against the operator's own decisions or brute force, on what its predecessor kept.
+
+    Near copies are those of five words and a coefficient of 0.8, as the job has it for stages.
+    """
+    from echofold.llm import mixing, toxicity
+    from tests.llm.test_near_copies import brute_labels
+    from tests.llm.test_texts import ENCODING, brute_lines, sha
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns = docs.columns
@@ -189,8 +215,8 @@ def test_pipeline_stage_by_stage(spark, data, as_rows):
     expected = {d: s for d, _, _, s in brute_lines([(r.doc_id, r.text) for r in kept.collect()])}
     assert {r.doc_id: sha(r.text) for r in cut.collect()} == expected
     one = near(spark, cut, data).cache()
-    groups = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in cut.collect()])
-    assert as_rows(one, *columns) == [r for r in as_rows(cut, *columns) if r[0] in {c for _, c in groups}]
+    groups = brute_labels([(r.doc_id, r.text) for r in cut.collect()])
+    assert as_rows(one, *columns) == [r for r in as_rows(cut, *columns) if r[0] in groups]
     mixed = mix(spark, one, data).cache()
     copies = {r.doc_id: r.copies for r in mixing.mix(one).collect()}
     assert as_rows(mixed, *columns) == sorted((r for r in as_rows(one, *columns) for _ in range(copies[r[0]])), key=repr)
@@ -198,3 +224,16 @@ def test_pipeline_stage_by_stage(spark, data, as_rows):
     ids = {r.doc_id: ENCODING.encode_ordinary(r.text) for r in mixed.collect()}
     assert all(r.ids == ids[r.doc_id] and r.n_tokens == len(r.ids) for r in final.collect())
     assert as_rows(corpus_pipeline.run(spark, data), "doc_id", "ids_sha256") == as_rows(final, "doc_id", "ids_sha256")
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path, awkward, nothing, clashing):
+    """Nulls, empty and long texts, repeated rows and ids, clashing names; then no documents, no labels."""
+    labels = [(1, 0, 1), (None, 1, 1), (2, 1, None), (3, 0, 0), (99, 0, 1)]
+    for name, docs, marks in (("awkward", awkward, labels), ("clashing", clashing, labels), ("nothing", nothing, []), ("unlabelled", awkward, [])):
+        folder = tmp_path / name
+        docs.write.parquet(f"file://{folder}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"file://{folder}/labels.parquet")
+        found = corpus_pipeline.run(spark, f"file://{folder}").collect()
+        assert bool(found) == (name != "nothing")
+        assert {r.doc_id for r in found} <= {r.doc_id for r in docs.collect()}
+        assert all(r.n_tokens == len(r.ids) for r in found)
