@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 
 from echofold.llm.common import join_by_key, unpack_rows, whole_rows
 from echofold.operators.ranking import ranked
+from echofold.plans.session import shuffle_partitions
 from echofold.plans.staging import staged
 
 #: Fixed values of the production mix.
@@ -40,28 +41,31 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sources: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """sources (no_source, source_key, n, source_size) with target, by re-sharing the excess of capped sources.
+    """sources (no_source, source_key, n, source_size) with target, the excess of capped sources shared again.
 
-    Each round is one aggregate of a few numbers; only those come to the driver.
+    Sources reach their caps in the order of cap / weight. With caps and weights summed up in that order, each source
+    gives the rate at which it would be the first one below its cap; the first that is, is right. The sums are made
+    within ranges and over the ranges, so that no task sees all sources.
     """
+    order = ["ratio", "no_source", "source_key"]
     table = ranked(sources, [], ["no_source", "source_key"])
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("k") - 1, F.lit(len(weights))) + 1).cast("int"))
-    table = staged(table.select("no_source", "source_key", "n", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(cap)).alias("most")), "sources")
-    budget = share * (table.agg(F.sum("source_size")).first()[0] or 0)
-    rate = 0.0
-    while True:
-        above = F.col("weight") * F.lit(rate) >= F.col("most")
-        row = table.agg(
-            F.coalesce(F.sum(F.when(above, F.col("most"))), F.lit(0.0)).alias("capped"),
-            F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0)).alias("weight"),
-        ).first()
-        if not row["weight"]:
-            break
-        higher = max(0.0, budget - row["capped"]) / row["weight"]
-        if higher <= rate:
-            break
-        rate = higher
-    return table.withColumn("target", F.least(F.col("most"), F.col("weight") * F.lit(rate)))
+    table = table.select("no_source", "source_key", "n", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(cap)).alias("most"))
+    table = table.withColumn("ratio", F.col("most") / F.col("weight"))
+    table = staged(table.repartitionByRange(shuffle_partitions(sources.sparkSession), *order).withColumn("part", F.spark_partition_id()), "sources")
+    all_of = table.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    budget = share * (all_of["size"] or 0)
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = table.groupBy("part").agg(F.sum("most").alias("part_most"), F.sum("weight").alias("part_weight"))
+    earlier = held.select("part", *[F.coalesce(F.sum(f"part_{c}").over(ahead), F.lit(0.0)).alias(f"ahead_{c}") for c in ("most", "weight")])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda c: F.col(f"ahead_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0.0))
+    rate = (F.lit(budget) - summed("most")) / (F.lit(all_of["weight"] or 0.0) - summed("weight"))
+    below = table.join(earlier, "part").select(*order, "weight", "most", rate.alias("rate")).where(F.col("rate") * F.col("weight") <= F.col("most"))
+    first = below.agg(F.min(F.struct(*order, "rate")).alias("first")).first()["first"]
+    # None is below its cap if the budget is more than all caps.
+    rate = first["rate"] if first else float("inf")
+    return table.select("no_source", "source_key", "n", "source_size", F.least(F.col("most"), F.col("weight") * F.lit(rate)).alias("target"))
 
 
 def mix_plan(rows: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
@@ -75,7 +79,7 @@ def mix_plan(rows: DataFrame, share: float = SHARE, weights: tuple[float, ...] =
     offset = F.conv(F.substring(F.md5(name.cast("binary")), 1, 7), 16, 10).cast("long") * F.lit(UNIT >> 28)
     per_copy = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * F.lit(float(UNIT)))).otherwise(F.lit(0)).cast("long")
     facts = targets.select(F.struct("no_source", "source_key").alias("src"), "n", "source_size", "target", offset.alias("u"), per_copy.alias("step"))
-    placed = ranked(keyed, ["no_source", "source_key"], ["size", "doc_id", "tie"]).withColumn("src", F.struct("no_source", "source_key"))
+    placed = staged(ranked(keyed, ["no_source", "source_key"], ["size", "doc_id", "tie"]).withColumn("src", F.struct("no_source", "source_key")), "ranks")
     found = join_by_key(placed.drop("no_source", "source_key"), facts, "src", "n", total)
     start = F.pmod(F.col("u") + F.pmod(F.col("k") - 1, F.lit(UNIT)) * F.pmod(F.col("step"), F.lit(UNIT)), F.lit(UNIT))
     copies = F.shiftright(start + F.col("step"), UNIT_BITS)
