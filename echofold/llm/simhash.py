@@ -211,11 +211,17 @@ def one_of_each(docs: DataFrame, list_most: int = LIST_MOST, shingle: int = SHIN
 
 def representatives(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The row of smallest id of each label in named (doc_id, tie, label)."""
+    key = lambda doc_id, tie: [F.coalesce(doc_id.cast("string"), F.lit("")).alias("id_"), tie.alias("tie_")]
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("first"))
-    stay = first.select(F.col("first.doc_id").alias("stay_id"), F.col("first.tie").alias("stay_tie"))
+    stay = first.select(*key(F.col("first.doc_id"), F.col("first.tie")))
+    held = named.select(*key(F.col("doc_id"), F.col("tie"))).groupBy("id_", "tie_").agg(F.count(F.lit(1)).alias("alike"))
+    # Fewer rows go than stay, as a rule; of rows that are one text under one id a single one stays.
+    gone = staged(held.join(stay, ["id_", "tie_"], "left_anti").select("id_", "tie_"), "gone")
+    repeated = staged(held.where("alike > 1").select("id_", "tie_"), "repeated")
     row, names = whole_rows(docs)
-    given = docs.select(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).alias("id_"), F.xxhash64(normal_text(docs["text"])).alias("tie_"), row)
-    stay = stay.select(F.coalesce(F.col("stay_id").cast("string"), F.lit("")).alias("id_"), F.col("stay_tie").alias("tie_"))
-    kept = given.join(stay, ["id_", "tie_"], "left_semi")
+    given = docs.select(*key(docs["doc_id"], F.xxhash64(normal_text(docs["text"]))), row)
+    kept = given.join(gone, ["id_", "tie_"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("id_", "tie_").orderBy(F.xxhash64("row_")))
-    return unpack_rows(kept.withColumn("nth", nth).where("nth = 1"), names)
+    single = kept.join(repeated, ["id_", "tie_"], "left_anti")
+    one = kept.join(repeated, ["id_", "tie_"], "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")
+    return unpack_rows(single.unionByName(one), names)
