@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from echofold.operators.components import connected_components
 from echofold.operators.ranking import ranked
+from echofold.plans.staging import staged
 
 LOCATION = ["file", "start_line", "end_line"]
 
@@ -29,13 +30,14 @@ def cluster_members(entries: DataFrame, edges: DataFrame, min_locations: int = 2
 
     cluster_id is the least entry_id of the component's locations. This form holds clusters of any size.
     """
-    entries = entries.dropna(subset=["entry_id", *LOCATION])
-    spots = entries.groupBy(*LOCATION).agg(F.min("entry_id").alias("spot"))
-    placed = entries.select("entry_id", "nodes", *LOCATION).join(spots, LOCATION)
+    slim = entries.select("entry_id", "nodes", *LOCATION).dropna(subset=["entry_id", *LOCATION])
+    spots = slim.groupBy(*LOCATION).agg(F.min("entry_id").alias("spot"))
     ends = edges.select(F.col("l").alias("entry_id")).unionByName(edges.select(F.col("r").alias("entry_id"))).distinct()
-    matched = placed.join(ends, "entry_id").groupBy("spot", *LOCATION).agg(F.max("nodes").alias("nodes"))
-    at = placed.select("entry_id", "spot").distinct()
-    joined = edges.join(at.withColumnsRenamed({"entry_id": "l", "spot": "a"}), "l").join(at.withColumnsRenamed({"entry_id": "r", "spot": "b"}), "r").select("a", "b", "score")
+    matching = slim.join(ends, "entry_id", "left_semi").groupBy("entry_id", *LOCATION).agg(F.max("nodes").alias("nodes"))
+    placed = staged(matching.join(spots, LOCATION), "placed")
+    matched = placed.groupBy("spot", *LOCATION).agg(F.max("nodes").alias("nodes"))
+    at = lambda end, name: placed.select(F.col("entry_id").alias(end), F.col("spot").alias(name))
+    joined = staged(edges.join(at("l", "a"), "l").join(at("r", "b"), "r").select("a", "b", "score"), "spot-edges")
     groups = connected_components(joined, "a", "b", driver_limit=driver_limit)
     # An edge between entries of one location belongs to that location's component, if it has one.
     of_edge = joined.join(groups.withColumnsRenamed({"node": "a"}), "a", "left").withColumn("component", F.coalesce("component", "a"))

@@ -72,7 +72,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
             found = _union_find([(r["a"], r["b"]) for r in held])
             kind = now.schema["a"].dataType.simpleString()
             return edges.sparkSession.createDataFrame(list(found.items()), f"node {kind}, component {kind}")
-    now = staged(now, "edges")
+    # The first round may read what is written out already.
+    now = now if hasattr(edges, "staged_path") else staged(now, "edges")
     seen = None
     for _ in range(max_rounds):
         before = now
