@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Most rows and bytes of the Arrow batches that executors exchange with Python.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def texts_of(batch: pa.RecordBatch) -> pa.Array:
@@ -173,6 +173,22 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, weight: str, total:
     return of_hot.unionByName(of_cold)
 
 
+#: Buckets of a hash, at most so many rows wherever they are broadcast.
+BUCKETS = 1 << 20
+
+
+def bucket_of(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(BUCKETS)).cast("int").alias("bucket_")
+
+
+def buckets_of(rows: DataFrame, hashed: str) -> DataFrame:
+    """(bucket_): the buckets that rows fall into, for a broadcast of bounded size.
+
+    Rows of another table in none of these can't meet any of rows, and need not be shuffled to find out.
+    """
+    return F.broadcast(rows.select(bucket_of(F.col(hashed))).distinct())
+
+
 def sampled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """ids (doc_id and other columns, a bounded number of rows) with the whole text of each id.
 

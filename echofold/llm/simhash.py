@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echofold.llm.common import join_by_key, map_batches, normal_text, unpack_rows, whole_rows
+from echofold.llm.common import bucket_of, join_by_key, map_batches, normal_text, unpack_rows, whole_rows
 from echofold.operators.components import connected_components
 from echofold.plans.staging import discard, staged
 
@@ -215,13 +215,13 @@ def representatives(docs: DataFrame, named: DataFrame) -> DataFrame:
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("first"))
     stay = first.select(*key(F.col("first.doc_id"), F.col("first.tie")))
     held = named.select(*key(F.col("doc_id"), F.col("tie"))).groupBy("id_", "tie_").agg(F.count(F.lit(1)).alias("alike"))
-    # Fewer rows go than stay, as a rule; of rows that are one text under one id a single one stays.
+    # Fewer rows go than stay, as a rule: those in no bucket of rows that go or repeat stay where they are.
     gone = staged(held.join(stay, ["id_", "tie_"], "left_anti").select("id_", "tie_"), "gone")
-    repeated = staged(held.where("alike > 1").select("id_", "tie_"), "repeated")
+    special = staged(gone.unionByName(held.where("alike > 1").select("id_", "tie_")).select(bucket_of(F.col("tie_"))).distinct(), "buckets")
     row, names = whole_rows(docs)
-    given = docs.select(*key(docs["doc_id"], F.xxhash64(normal_text(docs["text"]))), row)
-    kept = given.join(gone, ["id_", "tie_"], "left_anti")
+    given = docs.select(*key(docs["doc_id"], F.xxhash64(normal_text(docs["text"]))), row).withColumn("bucket_", bucket_of(F.col("tie_")))
+    plain = given.join(F.broadcast(special), "bucket_", "left_anti")
+    kept = given.join(F.broadcast(special), "bucket_", "left_semi").join(gone, ["id_", "tie_"], "left_anti")
+    # Of rows that are one text under one id a single one stays.
     nth = F.row_number().over(Window.partitionBy("id_", "tie_").orderBy(F.xxhash64("row_")))
-    single = kept.join(repeated, ["id_", "tie_"], "left_anti")
-    one = kept.join(repeated, ["id_", "tie_"], "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")
-    return unpack_rows(single.unionByName(one), names)
+    return unpack_rows(plain.select("row_").unionByName(kept.withColumn("nth", nth).where("nth = 1").select("row_")), names)
