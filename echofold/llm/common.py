@@ -71,8 +71,8 @@ def give_back() -> None:
         _trim(0)
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
-    """work over slices of Arrow batches; one slice is in memory at a time."""
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, finish: Callable[[], None] = lambda: None) -> DataFrame:
+    """work over slices of Arrow batches, one of which is in memory at a time; finish ends each partition."""
     ship_package(df.sparkSession)
     bound_batches(df.sparkSession)
 
@@ -81,6 +81,8 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
             for piece in slices(batch):
                 yield work(piece)
             give_back()
+        finish()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

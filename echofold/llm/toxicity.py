@@ -247,7 +247,8 @@ def score(docs: DataFrame, model: ToxicModel, with_rows: bool = False) -> DataFr
         found = carrier.value.scores(texts_of(batch).to_pylist())
         return pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {"score": pa.array(found, pa.float64())})
 
-    scored = map_batches(given, work, given.select(*names, F.lit(0.0).alias("score")).schema)
+    # Workers outlive the stage, and with them what they remember of words.
+    scored = map_batches(given, work, given.select(*names, F.lit(0.0).alias("score")).schema, lambda: carrier.value.cache.clear())
     return scored.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_FOLD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), *names[1:])
 
 
