@@ -46,6 +46,8 @@ SHINGLE, LEAST = 5, 0.8
 LIST_MOST = 4
 #: Entries of a part, and pairs of a group with one set.
 PART_ENTRIES, CHUNK_PAIRS = 500_000, 1024
+#: Members of a block of those that share a hub.
+HUB_BLOCK = 1024
 #: Sets of which a task remembers that it has dealt them.
 SEEN_SETS = 200_000
 TOKEN_BYTES = 6
@@ -124,7 +126,7 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return found ^ (found >> np.uint64(29))
 
 
-DEALT = "part int, hot boolean, fps binary, ns binary, counts binary, tokens binary"
+DEALT = "part int, hot boolean, fps binary, ns binary, counts binary, tokens binary, places binary"
 
 
 def _dealt(found: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
@@ -156,19 +158,20 @@ def _dealt(found: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
                 hot = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
             part = (_mixed(tokens ^ np.where(hot, fps[row], 0)) % np.uint64(parts)).astype(np.int64)
             kind = 2 * part + hot
+            at = (np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) * 256 // lengths[row]
             order = np.argsort(kind, kind="stable")
             out = []
             for group in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
                 rows, counts = np.unique(row[group], return_counts=True)
                 one = kind[group[0]]
-                out.append((one >> 1, bool(one & 1), fps[rows].tobytes(), ns[rows].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), packed(tokens[group])))
-            columns = zip(zip(*out), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["part", "hot", "fps", "ns", "counts", "tokens"])
+                out.append((one >> 1, bool(one & 1), fps[rows].tobytes(), ns[rows].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), packed(tokens[group]), at[group].astype(np.uint8).tobytes()))
+            columns = zip(zip(*out), (pa.int32(), pa.bool_(), *[pa.binary()] * 5))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["part", "hot", "fps", "ns", "counts", "tokens", "places"])
 
     return found.select("fp", "n", "prefix").mapInArrow(deal, DEALT)
 
 
-CANDIDATES = "a long, b long, an int, bn int, token long, weight int"
+CANDIDATES = "a long, b long, an int, bn int, token long, weight int, place int"
 
 
 def _met(least: float, list_most: int):
@@ -179,12 +182,12 @@ def _met(least: float, list_most: int):
         column = lambda name: b"".join(part.column(name).to_pylist())
         counts = np.frombuffer(column("counts"), np.int32)
         fps, ns = (np.repeat(np.frombuffer(column(name), kind), counts) for name, kind in (("fps", np.int64), ("ns", np.int32)))
-        tokens = unpacked(column("tokens"))
+        tokens, places = unpacked(column("tokens")), np.frombuffer(column("places"), np.uint8)
         hot = np.repeat(part.column("hot").to_numpy(zero_copy_only=False).astype(np.bool_), [len(t) // TOKEN_BYTES for t in part.column("tokens").to_pylist()])
         order = np.lexsort((fps, tokens))
-        tokens, fps, ns, hot = tokens[order], fps[order], ns[order], hot[order]
+        tokens, fps, ns, hot, places = tokens[order], fps[order], ns[order], hot[order], places[order]
         once = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (fps[1:] != fps[:-1])))[: len(tokens)]
-        tokens, fps, ns, hot = tokens[once], fps[once], ns[once], hot[once]
+        tokens, fps, ns, hot, places = tokens[once], fps[once], ns[once], hot[once], places[once]
         starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))[: len(tokens)])
         lengths = np.diff(np.append(starts, len(tokens)))
         # One list of each kind: the same members, or a common token.
@@ -204,9 +207,9 @@ def _met(least: float, list_most: int):
                 pairs.append(np.stack([fps[x], fps[y], ns[x], ns[y], times[near]]))
         found = pd.DataFrame(np.concatenate(pairs, axis=1).T, columns=["a", "b", "an", "bn", "weight"])
         found = found.groupby(["a", "b"], as_index=False, sort=False).agg({"an": "first", "bn": "first", "weight": "sum"})
-        short = pa.table({**{c: pa.array(found[c].to_numpy(), t) for c, t in (("a", pa.int64()), ("b", pa.int64()), ("an", pa.int32()), ("bn", pa.int32()))}, "token": pa.nulls(len(found), pa.int64()), "weight": pa.array(found["weight"].to_numpy(), pa.int32())})
+        short = pa.table({**{c: pa.array(found[c].to_numpy(), t) for c, t in (("a", pa.int64()), ("b", pa.int64()), ("an", pa.int32()), ("bn", pa.int32()))}, "token": pa.nulls(len(found), pa.int64()), "weight": pa.array(found["weight"].to_numpy(), pa.int32()), "place": pa.nulls(len(found), pa.int32())})
         rows = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[long], lengths[long])]) if long.any() else np.zeros(0, np.int64)
-        members = {"a": fps[rows], "b": pa.nulls(len(rows), pa.int64()), "an": pa.array(ns[rows], pa.int32()), "bn": pa.nulls(len(rows), pa.int32()), "token": tokens[rows], "weight": pa.array(np.repeat(weight[long], lengths[long]), pa.int32())}
+        members = {"a": fps[rows], "b": pa.nulls(len(rows), pa.int64()), "an": pa.array(ns[rows], pa.int32()), "bn": pa.nulls(len(rows), pa.int32()), "token": tokens[rows], "weight": pa.array(np.repeat(weight[long], lengths[long]), pa.int32()), "place": pa.array(places[rows], pa.int32())}
         give_back()
         return pa.concat_tables([short, pa.table(members)])
 
@@ -255,6 +258,71 @@ def _scored(pairs: DataFrame, docs: DataFrame, named: DataFrame, shingle: int) -
     return each.groupBy("a", "chunk").applyInArrow(compare, "a long, b long, score double")
 
 
+def _shared(least: float):
+    """For members of hubs, in blocks: pairs (a, b) of which the tokens that they share in long lists are enough.
+
+    Of a pair that shares no token in a short list these are all that their prefixes share. What comes before one of them
+    and isn't shared is lost, so sets share at most these and what follows it in both.
+    """
+
+    def tally(dealt: pa.Table) -> pa.Table:
+        rows = dealt.select(["hub", "i", "j", "fp", "n", "part", "away", "as_x", "as_y"]).to_pandas()
+        own = dealt.column("own").combine_chunks()
+        held = np.diff(own.offsets.to_numpy())
+        tokens, weights, places = (own.flatten().field(k).to_numpy() for k in ("token", "weight", "place"))
+        first = np.cumsum(held) - held
+        ns = rows["n"].to_numpy(np.int64)
+        prefixes = ns - np.ceil(ns * least - BOUND_SLACK).astype(np.int64) + 1
+        after = np.repeat(ns, held) - 1 - -(-places.astype(np.int64) * np.repeat(prefixes, held) // 256)
+        fps, parts, away = rows["fp"].to_numpy(), rows["part"].to_numpy(), rows["away"].to_numpy(np.float64)
+        as_x, as_y = rows["as_x"].to_numpy(), rows["as_y"].to_numpy()
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for group in rows.groupby(["hub", "i", "j"], sort=False).indices.values():
+            ys = group[as_y[group]]
+            at = np.repeat(first[ys] - np.cumsum(held[ys]) + held[ys], held[ys]) + np.arange(held[ys].sum())
+            of = np.repeat(np.arange(len(ys)), held[ys])
+            order = np.argsort(tokens[at], kind="stable")
+            at, of = at[order], of[order]
+            sorted_ = tokens[at]
+            for x in group[as_x[group]]:
+                mine = np.arange(first[x], first[x] + held[x])
+                start, end = np.searchsorted(sorted_, tokens[mine], "left"), np.searchsorted(sorted_, tokens[mine], "right")
+                many = end - start
+                hit = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+                shared = np.bincount(of[hit], np.repeat(weights[mine], many), len(ys))
+                rest = np.full(len(ys), np.iinfo(np.int64).max)
+                np.minimum.at(rest, of[hit], np.minimum(np.repeat(after[mine], many), after[at[hit]]))
+                low, high = np.minimum(ns[x], ns[ys]), np.maximum(ns[x], ns[ys])
+                need = np.ceil((low + high) * (least / (1 + least)) - BOUND_SLACK)
+                enough = shared >= np.maximum(need - np.ceil(high * least - BOUND_SLACK) + 1, 1)
+                enough[enough] &= shared[enough] + rest[enough] >= need[enough]
+                enough &= (high <= np.floor(low / least + BOUND_SLACK)) & (parts[ys] != parts[x]) & ~(np.abs(away[ys] - away[x]) > 1 - least + 1e-9)
+                out_a.append(np.minimum(fps[x], fps[ys[enough]]))
+                out_b.append(np.maximum(fps[x], fps[ys[enough]]))
+        give_back()
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    return tally
+
+
+def _crossing(measured: DataFrame, open_: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of one hub, not both of its main component, that may be alike though they share no short list.
+
+    Members meet in blocks of HUB_BLOCK within a task, so that pairs which don't share enough are never written.
+    """
+    own = members.groupBy("fp").agg(F.collect_list(F.struct("token", "weight", "place")).alias("own"))
+    blocks = lambda name: F.ceil(F.col(name) / HUB_BLOCK).cast("int")
+    rows = measured.select("hub", "fp", "n", "part", "away", (F.col("part") != F.col("main")).alias("other"), blocks("others").alias("is"), blocks("held").alias("js"))
+    rows = rows.withColumn("i_", F.pmod(F.xxhash64("fp"), "is").cast("int")).withColumn("j_", F.pmod(F.xxhash64("fp"), "js").cast("int")).join(own, "fp")
+    # Each of the others meets every block of members, each member every block of the others.
+    cells = F.transform(F.sequence(F.lit(0), F.col("is") - 1), lambda i: F.struct(i.alias("i"), F.col("j_").alias("j")))
+    across = F.transform(F.sequence(F.lit(0), F.col("js") - 1), lambda j: F.struct(F.col("i_").alias("i"), j.alias("j")))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("other"), F.array_union(cells, across)).otherwise(cells)))
+    dealt = rows.select("hub", "cell.i", "cell.j", "fp", "n", "part", "away", (F.col("other") & (F.col("cell.i") == F.col("i_"))).alias("as_x"), (F.col("cell.j") == F.col("j_")).alias("as_y"), "own")
+    deals = 1 + open_.agg(F.sum("held")).first()[0] // (4 * HUB_BLOCK) if not open_.isEmpty() else 1
+    return dealt.groupBy(F.pmod(F.xxhash64("hub", "i", "j"), F.lit(deals)).alias("deal")).applyInArrow(_shared(least), "a long, b long")
+
+
 def links(docs: DataFrame, found: DataFrame, shingle: int, least: float, common: np.ndarray, list_most: int = LIST_MOST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tie, fp) of each row, and (a, b): links between different sets that connect all of coefficient least or more."""
     entries = found.agg(F.sum(F.octet_length("prefix") / TOKEN_BYTES)).first()[0] or 0
@@ -266,19 +334,18 @@ def links(docs: DataFrame, found: DataFrame, shingle: int, least: float, common:
     named = staged(first.select("fp", "first.doc_id", "first.tie"), "set-rows")
 
     # A set's tokens in long lists may be shared with anyone there.
-    members = met.where("token is not null").select("token", F.col("a").alias("fp"), F.col("an").alias("n"), "weight")
+    members = met.where("token is not null").select("token", F.col("a").alias("fp"), F.col("an").alias("n"), "weight", "place")
     loads = staged(members.groupBy("fp").agg(F.sum("weight").alias("load")), "loads")
     load_of = lambda side: loads.select(F.col("fp").alias(side), F.col("load").alias(f"{side}_load"))
     tally = met.where("token is null").groupBy("a", "b").agg(F.max("an").alias("an"), F.max("bn").alias("bn"), F.sum("weight").alias("shared"))
     more = F.least(F.coalesce("a_load", F.lit(0)), F.coalesce("b_load", F.lit(0)))
     enough = F.col("shared") + more >= least_shared(F.col("an"), F.col("bn"), least)
     near = staged(tally.join(load_of("a"), "a", "left").join(load_of("b"), "b", "left").where(enough).select("a", "b"), "near-pairs")
-    loaded = staged(members.drop("weight").join(loads, "fp"), "long-members")
+    loaded = staged(members.drop("weight", "place").join(loads, "fp"), "long-members")
     # What a group of near copies was made from shares most of its tokens with the others: a good hub.
     lists = loaded.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("load", "fp", "n")).alias("hub")).where("held > 1")
     long = join_by_key(loaded, staged(lists, "token-lists"), "token", "held", loaded.count())
     long = staged(long.select("token", "fp", "n", "load", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "long-index")
-    discard(met)
 
     can = lambda x, y: within_size_window(F.col(x), F.col(y), least)
     spokes = long.where(F.col("fp") != F.col("hub")).where(can("n", "hub_n") & (F.col("load") >= least_shared(F.col("n"), F.col("hub_n"), least)))
@@ -298,18 +365,14 @@ def links(docs: DataFrame, found: DataFrame, shingle: int, least: float, common:
     known = staged(known.withColumn("part", F.coalesce("component", "fp")).drop("component"), "hub-members")
     counts = known.groupBy("hub", "part").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("hub").agg(F.max(F.struct("m", "part")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("held"))
-    open_ = staged(main.where("parts > 1").select("hub", F.col("top.part").alias("main"), "held"), "open-hubs")
-    inside = join_by_key(known, open_, "hub", "held", known.count()).drop("held")
+    open_ = staged(main.where("parts > 1").select("hub", F.col("top.part").alias("main"), "held", (F.col("held") - F.col("top.m")).alias("others")), "open-hubs")
+    inside = join_by_key(known, open_, "hub", "held", known.count())
     hubs = scored.select(F.col("a").alias("hub"), F.col("b").alias("fp"), (F.lit(1.0) - F.col("score")).alias("away"))
     measured = staged(inside.join(hubs, ["hub", "fp"], "left").withColumn("away", F.when(F.col("fp") == F.col("hub"), 0.0).otherwise(F.col("away"))), "measured")
-    side = lambda s, rows: rows.select("hub", *[F.col(c).alias(s + c) for c in ("fp", "n", "part", "away", "load")])
-    far = F.coalesce(F.abs(F.col("xaway") - F.col("yaway")) > F.lit(1 - least + 1e-9), F.lit(False))
-    bound = F.least("xload", "yload") >= least_shared(F.col("xn"), F.col("yn"), least)
-    meet = (F.col("xpart") != F.col("ypart")) & can("xn", "yn") & bound & ~far
-    cross = side("x", measured.where("part <> main")).join(side("y", measured), "hub").where(meet)
-    cross = cross.select(F.least("xfp", "yfp").alias("a"), F.greatest("xfp", "yfp").alias("b"))
+    cross = _crossing(measured, open_, members, least)
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = staged(apart.unionByName(cross).distinct().join(done, ["a", "b"], "left_anti"), "second-pairs")
+    discard(met)
     if crossing.isEmpty():
         return rows, alike
     again = _scored(crossing, docs, named, shingle)

@@ -89,3 +89,22 @@ def test_awkward_rows(spark, awkward, nothing, clashing):
     for d, t in rows:
         assert any(not (a | brute_set(t)) or len(a & brute_set(t)) / len(a | brute_set(t)) >= 0.8 for a in [brute_set(x) for y, x in rows if y in found])
     assert len(found) <= len({frozenset(s) for s in sets})
+
+
+def test_unlike_texts_of_common_passages_are_not_compared(spark, monkeypatch):
+    """Texts of ten of twenty passages: all lists are long, next to no pair shares enough of them."""
+    rnd = random.Random(5)
+    passages = [" ".join(f"p{i}w{j}" for j in range(12)) for i in range(20)]
+    rows = [(i, "\n".join(rnd.sample(passages, 10))) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(20)]
+    compared, scored = [], near_copies._scored
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return scored(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_scored", counted)
+    monkeypatch.setattr(near_copies, "HUB_BLOCK", 16, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == sorted(brute_labels(rows))
+    assert sum(compared) < 1500
