@@ -4,8 +4,9 @@ Each stage takes what its predecessor kept, as a table with the columns of docum
 token ids. run() writes every stage's rows to the shared folder and reads them again, so a lost executor
 never costs more than the tasks it was running.
 
-Near copies are those of five words and a coefficient of 0.8. A SimHash of 64 bits can't promise to find those, so
-that stage takes the exact join of near_copies and of simhash only what makes groups and picks rows of them.
+Near copies are those of five words and a coefficient of 0.8. They come from SimHash fingerprints by op5's operator,
+checked by their coefficient. A SimHash of 64 bits can't promise to find all of those; near_copies adds the others by
+an exact join.
 
 Defined results: a null or empty text is kept unless its score says otherwise, as one group with all texts that
 have no words, and has no tokens; it has no words to be taken for, and the mix may leave it out. Rows that share an

@@ -1,8 +1,10 @@
 """Near copies by the Jaccard coefficient of word shingles, exact at any threshold.
 
-A text is the set of the hashes of its shingles; two are near copies if the coefficient reaches least. A
-SimHash can't promise that: at a coefficient of 0.8 two fingerprints are expected to differ in 15 % of
-their bits, more than one a byte, so no count of shared positional bytes is guaranteed at any width.
+A text is the set of the hashes of its shingles; two are near copies if the coefficient reaches least. Pairs come
+first from the SimHash of the same hashes, by op5's index of positional bytes, its tallies and its verification
+(simhash.links), and are checked by their coefficient. A SimHash can't promise all: at a coefficient of 0.8 two
+fingerprints are expected to differ in 15 % of their bits, more than one a byte, so no count of shared positional
+bytes is guaranteed at any width. What it leaves is found by an exact prefix join.
 
 Equal sets are one node. In any one order of tokens, two sets of coefficient t or more share one of the
 first n - ceil(t n) + 1 tokens of each; here tokens that are frequent in a sample of texts come last. The
@@ -13,11 +15,12 @@ of sets lies in one part; tokens frequent in the sample are dealt by the set as
 in one part count once, with their number. For the pairs of lists of up to LIST_MOST the shared tokens are
 tallied: the first tokens that two sets share lie in the prefixes of both, all but as many as the coefficient
 allows to be missing, so a pair needs a guaranteed minimum (longer lists count as shared for both). What reaches it
-is verified: first each set with the least of its partners and the members of a longer list with the one that has most
-tokens in such lists, the hub; then pairs of what isn't connected by that, and of all longer lists of one hub the members
-outside the largest component with all of another component, unless their distances to the hub differ by more than 1 - least
-(Jaccard distance is a metric). No link between components is lost. Only long lists of unlike members, whose
-rarest tokens are common, cost more than in proportion to their number.
+is verified: first, with the pairs of the SimHash, each set that has none with the least of its partners and the members of
+a longer list with the one that has most tokens in such lists, the hub; then pairs of what isn't connected by that, and of
+all longer lists of one hub the members outside the largest component with all of another component, unless their distances
+to the hub differ by more than 1 - least (Jaccard distance is a metric) or the tokens that they share in long lists, tallied
+within a task, are too few. No link between components is lost. Only groups of texts that are nearly alike enough cost more
+than in proportion to their number.
 
 Pairs are verified in groups of up to CHUNK_PAIRS with one set; the texts that occur in pairs are read again.
 
@@ -26,7 +29,7 @@ Defined results: of fewer words than a shingle, the whole sequence is one; texts
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -36,11 +39,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import bucket_of, buckets_of, give_back, join_by_key, map_batches, normal_text
-from echofold.llm.simhash import SEED, labelled, representatives
+from echofold.llm import simhash
+from echofold.llm.common import give_back, join_by_key, map_batches, normal_text, split_by
+from echofold.llm.simhash import BITS, SEED, folded, labelled, representatives, shingle_hashes
 from echofold.operators.components import connected_components
 from echofold.operators.similarity import BOUND_SLACK, within_size_window
-from echofold.plans.staging import discard, staged
+from echofold.plans.staging import discard, settle, staged
 
 SHINGLE, LEAST = 5, 0.8
 LIST_MOST = 4
@@ -56,14 +60,13 @@ SAMPLE_TEXTS, FREQUENT, COMMON_MOST = 10_000, 3, 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def distinct_tokens(hashes: np.ndarray) -> np.ndarray:
+    return np.unique((hashes >> np.uint64(16)).view(np.int64))
+
+
 def tokens_of(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a UTF-8 text's shingles, sorted, of 48 bits."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    n = max(1, len(words) - shingle + 1)
-    shingles = map(b" ".join, zip(*(words[i : i + n] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique((np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n) >> np.uint64(16)).view(np.int64))
+    return distinct_tokens(shingle_hashes(text, shingle))
 
 
 def packed(tokens: np.ndarray) -> bytes:
@@ -106,18 +109,20 @@ def common_tokens(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray
 
 
 def described(docs: DataFrame, shingle: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, tie, fp, n, prefix) for each row; tie is a hash of the text, prefix the tokens' bytes."""
+    """(doc_id, tie, fp, sim, n, prefix) for each row; tie is a hash of the text, sim its SimHash, prefix the tokens' bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [tokens_of(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        columns = [batch.column("doc_id"), batch.column("tie"), pa.array([_set_id(t) for t in found], pa.int64())]
+        hashes = [shingle_hashes(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        found = [distinct_tokens(h) for h in hashes]
+        sims = np.array([folded(h) for h in hashes], np.uint64).view(np.int64)
+        columns = [batch.column("doc_id"), batch.column("tie"), pa.array([_set_id(t) for t in found], pa.int64()), pa.array(sims)]
         columns += [pa.array([len(t) for t in found], pa.int32()), pa.array([packed(prefix(t, least, *shared.value)) for t in found], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "fp", "n", "prefix"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "fp", "sim", "n", "prefix"])
 
     given = docs.select(docs["doc_id"].alias("doc_id"), normal_text(docs["text"]).alias("text")).withColumn("tie", F.xxhash64("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    return map_batches(given, work, f"doc_id {kind}, tie long, fp long, n int, prefix binary")
+    return map_batches(given, work, f"doc_id {kind}, tie long, fp long, sim long, n int, prefix binary")
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -236,7 +241,7 @@ def _scored(pairs: DataFrame, docs: DataFrame, named: DataFrame, shingle: int) -
         found = [tokens_of(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array([_set_id(t) for t in found], pa.int64()), pa.array([packed(t) for t in found], pa.binary()), batch.column("asks")], ["fp", "tokens", "asks"])
 
-    near = given.withColumn("bucket_", bucket_of(F.col("tie"))).join(buckets_of(asks, "tie"), "bucket_", "left_semi")
+    near, _ = split_by(given, asks, "id_", "tie")
     sets = map_batches(near.join(asks, ["id_", "tie"]).select("text", "asks"), work, "fp long, tokens binary, asks array<struct<a:long,chunk:int>>")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -323,13 +328,25 @@ def _crossing(measured: DataFrame, open_: DataFrame, members: DataFrame, least:
     return dealt.groupBy(F.pmod(F.xxhash64("hub", "i", "j"), F.lit(deals)).alias("deal")).applyInArrow(_shared(least), "a long, b long")
 
 
-def links(docs: DataFrame, found: DataFrame, shingle: int, least: float, common: np.ndarray, list_most: int = LIST_MOST) -> tuple[DataFrame, DataFrame]:
+def by_fingerprint(rows: DataFrame, bits: int) -> DataFrame:
+    """(a, b): pairs of sets in rows (fp, sim) that connect all whose fingerprints differ in at most bits bits, by op5's index."""
+    held = staged(rows.select("sim", "fp").distinct(), "sims")
+    nodes = staged(held.groupBy("sim").agg(F.min("fp").alias("least")), "sim-nodes")
+    node = lambda side: nodes.select(F.col("sim").alias(f"{side}_sim"), F.col("least").alias(side))
+    near = simhash.links(nodes.select(F.col("sim").alias("fp")), bits=bits).select(F.col("a").alias("a_sim"), F.col("b").alias("b_sim"))
+    same = held.join(nodes, "sim").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    return staged(near.join(node("a"), "a_sim").join(node("b"), "b_sim").select("a", "b").unionByName(same).where("a <> b").distinct(), "sim-pairs")
+
+
+def links(docs: DataFrame, found: DataFrame, shingle: int, least: float, common: np.ndarray, list_most: int = LIST_MOST, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tie, fp) of each row, and (a, b): links between different sets that connect all of coefficient least or more."""
     entries = found.agg(F.sum(F.octet_length("prefix") / TOKEN_BYTES)).first()[0] or 0
     parts = 1 + int(entries) // PART_ENTRIES
     met = staged(_dealt(found, parts, common).groupBy("part").applyInArrow(_met(least, list_most), CANDIDATES), "candidates")
-    rows = staged(found.select("doc_id", "tie", "fp"), "set-ids")
+    rows = staged(found.select("doc_id", "tie", "fp", "sim"), "set-ids")
     discard(found)
+    similar = by_fingerprint(rows, bits)
+    settle(docs.sparkSession)
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "tie")).alias("first"))
     named = staged(first.select("fp", "first.doc_id", "first.tie"), "set-rows")
 
@@ -349,12 +366,16 @@ def links(docs: DataFrame, found: DataFrame, shingle: int, least: float, common:
 
     can = lambda x, y: within_size_window(F.col(x), F.col(y), least)
     spokes = long.where(F.col("fp") != F.col("hub")).where(can("n", "hub_n") & (F.col("load") >= least_shared(F.col("n"), F.col("hub_n"), least)))
-    stars = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    pairs = staged(stars.unionByName(spokes.select(F.col("hub").alias("a"), F.col("fp").alias("b"))).distinct(), "first-pairs")
+    # Pairs by fingerprint come first; a set that they leave alone is compared with the least that it shares enough with.
+    alone = near.join(similar.select("b").distinct(), "b", "left_anti")
+    stars = alone.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    pairs = staged(similar.unionByName(stars).unionByName(spokes.select(F.col("hub").alias("a"), F.col("fp").alias("b"))).distinct(), "first-pairs")
     scored = staged(_scored(pairs, docs, named, shingle), "scored")
     alike = scored.where(F.col("score") >= F.lit(least)).select("a", "b")
 
     parts_of = staged(connected_components(alike), "parts")
+    settle(docs.sparkSession)
+    joined = parts_of.select(F.col("component").alias("a"), F.col("node").alias("b"))
     sizes = parts_of.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     sized = staged(join_by_key(parts_of, sizes, "component", "size", parts_of.count()).drop("size"), "sized-parts")
     part = lambda side: sized.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
@@ -373,15 +394,19 @@ def links(docs: DataFrame, found: DataFrame, shingle: int, least: float, common:
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = staged(apart.unionByName(cross).distinct().join(done, ["a", "b"], "left_anti"), "second-pairs")
     discard(met)
+    settle(docs.sparkSession)
+    rows = rows.drop("sim")
     if crossing.isEmpty():
-        return rows, alike
+        return rows, joined
     again = _scored(crossing, docs, named, shingle)
-    return rows, staged(alike.unionByName(again.where(F.col("score") >= F.lit(least)).select("a", "b")), "near-links")
+    return rows, staged(joined.unionByName(again.where(F.col("score") >= F.lit(least)).select("a", "b")), "near-links")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, list_most: int = LIST_MOST) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, list_most: int = LIST_MOST, bits: int = BITS) -> DataFrame:
     """The rows of docs that stand for their group of near copies: its smallest id, one row where ids repeat."""
+    settle(docs.sparkSession)
     common = common_tokens(docs, shingle)
     found = staged(described(docs, shingle, least, common), "shingles")
-    rows, near = links(docs, found, shingle, least, common[0], list_most)
+    rows, near = links(docs, found, shingle, least, common[0], list_most, bits)
+    settle(docs.sparkSession)
     return representatives(docs, labelled(rows, near=near))

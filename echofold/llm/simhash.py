@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echofold.llm.common import bucket_of, join_by_key, map_batches, normal_text, unpack_rows, whole_rows
+from echofold.llm.common import join_by_key, map_batches, normal_text, split_by, unpack_rows, whole_rows
 from echofold.operators.components import connected_components
 from echofold.plans.staging import discard, staged
 
@@ -52,18 +52,27 @@ def _signed(value: int) -> int:
 BYTE_MASKS = [_signed(0xFF << (8 * i)) for i in range(BYTES)]
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a UTF-8 text, unsigned."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 of each shingle of a UTF-8 text, repeats included; of fewer words the sequence is one, of none there is none."""
     words = text.lower().split()
-    if not words:
-        return 0
     if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        words = [b" ".join(words)] if words else []
+        return np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    n = len(words) - shingle + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - shingle + 1)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The SimHash of hashes, unsigned: bits that are set in over half of them."""
+    if not len(hashes):
+        return 0
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a UTF-8 text, unsigned."""
+    return folded(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tie: bool = False, shingle: int = SHINGLE) -> DataFrame:
@@ -215,13 +224,13 @@ def representatives(docs: DataFrame, named: DataFrame) -> DataFrame:
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("first"))
     stay = first.select(*key(F.col("first.doc_id"), F.col("first.tie")))
     held = named.select(*key(F.col("doc_id"), F.col("tie"))).groupBy("id_", "tie_").agg(F.count(F.lit(1)).alias("alike"))
-    # Fewer rows go than stay, as a rule: those in no bucket of rows that go or repeat stay where they are.
+    # Fewer rows go than stay, as a rule: those that surely neither go nor repeat stay where they are.
     gone = staged(held.join(stay, ["id_", "tie_"], "left_anti").select("id_", "tie_"), "gone")
-    special = staged(gone.unionByName(held.where("alike > 1").select("id_", "tie_")).select(bucket_of(F.col("tie_"))).distinct(), "buckets")
+    special = staged(gone.unionByName(held.where("alike > 1").select("id_", "tie_")), "special")
     row, names = whole_rows(docs)
-    given = docs.select(*key(docs["doc_id"], F.xxhash64(normal_text(docs["text"]))), row).withColumn("bucket_", bucket_of(F.col("tie_")))
-    plain = given.join(F.broadcast(special), "bucket_", "left_anti")
-    kept = given.join(F.broadcast(special), "bucket_", "left_semi").join(gone, ["id_", "tie_"], "left_anti")
+    given = docs.select(*key(docs["doc_id"], F.xxhash64(normal_text(docs["text"]))), row)
+    among, plain = split_by(given, special, "id_", "tie_")
+    kept = among.join(gone, ["id_", "tie_"], "left_anti")
     # Of rows that are one text under one id a single one stays.
     nth = F.row_number().over(Window.partitionBy("id_", "tie_").orderBy(F.xxhash64("row_")))
     return unpack_rows(plain.select("row_").unionByName(kept.withColumn("nth", nth).where("nth = 1").select("row_")), names)

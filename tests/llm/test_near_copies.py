@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from echofold.llm import near_copies
+from echofold.llm import near_copies, simhash
 
 
 def brute_set(text, size=5):
@@ -108,3 +108,28 @@ def test_unlike_texts_of_common_passages_are_not_compared(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == sorted(brute_labels(rows))
     assert sum(compared) < 1500
+
+
+def test_stage_takes_pairs_from_fingerprints(spark, monkeypatch):
+    """The pairs of op5's index over five-word fingerprints connect what brute force does at two bits, and are compared."""
+    found, compared, links, scored = [], [], simhash.links, near_copies._scored
+
+    def indexed(nodes, *rest, **more):
+        found.append(links(nodes, *rest, **more))
+        return found[-1]
+
+    def checked(pairs, *rest):
+        compared.extend({r.a, r.b} for r in pairs.collect())
+        return scored(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "links", indexed)
+    monkeypatch.setattr(near_copies, "_scored", checked)
+    words = [f"word{i}" for i in range(2000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:1000] + ["another"] + words[1001:])), (3, "something else altogether is written here"), (4, " ".join(words[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3, 4]
+    sims = {d: simhash.fingerprint(t.encode(), 5) for d, t in rows}
+    near = {frozenset((sims[x], sims[y])) for x in sims for y in sims if x < y and 0 < (sims[x] ^ sims[y]).bit_count() <= 2}
+    assert near and len(found) == 1
+    assert {frozenset((r.a % 2**64, r.b % 2**64)) for r in found[0].collect()} == near
+    assert {near_copies._set_id(near_copies.tokens_of(t.encode())) for _, t in rows[:2]} in compared
